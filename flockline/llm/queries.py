@@ -5,7 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing
+from .ann import nearest
+from .jaccard_join import jaccard_join
+from .mixing import mix
 from .phrase_dedup import phrase_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -14,19 +19,48 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors to every vector whose id 100 divides."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return jaccard_join(_docs(spark, sf_dir), 3, 90)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes under a 50-byte repeat of an earlier document, removed from every document."""
     return suffix_dedup(_docs(spark, sf_dir)).drop("spans")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed: sources weigh 5, 2, 1 in turn and repeat 3 times at most."""
+    return mix(_docs(spark, sf_dir))
+
+
 def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under a 50-word repeat of an earlier document, removed from every document."""
     return phrase_dedup(_docs(spark, sf_dir)).drop("spans")
 
 
+NEAREST_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_nearest": NEAREST_SQL, "op5_mixing": mixing.SQL}
