@@ -19,20 +19,32 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def text_buckets(docs: DataFrame, text: str = "text", group_bytes: int = GROUP_BYTES) -> int:
-    """How many groups to deal texts into, so that each holds about `group_bytes` at most."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(shuffle_partitions(docs.sparkSession), -(-int(total) // group_bytes))
+    """How many groups to deal texts into, so that each holds about `group_bytes` at most.
 
+    Groups send blocks to each other; at hundreds of GB they grow with the root of the input, so
+    that blocks do not become single rows.
+    """
+    total = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    size = max(group_bytes, int((64 * total) ** 0.5))
+    return max(shuffle_partitions(docs.sparkSession), -(-total // size))
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that all executors share, and read it from there.
 
-    The cluster names the folder in spark.checkpoint.dir; a temporary one is set only where that
-    is unset and nothing else has set one, as in tests on one machine.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share.
+
+    The cluster names it in spark.checkpoint.dir; a temporary one is set only where that is unset
+    and nothing else has set one, as in tests on one machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flockline-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="flockline-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder, and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

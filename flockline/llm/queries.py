@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing
+from ._session import cut, shared_folder
 from .ann import nearest
+from .decontam import decontaminate
 from .jaccard_join import jaccard_join
 from .mixing import mix
 from .phrase_dedup import phrase_dedup
+from .pii import pseudonymise
+from .secret_scan import scan
 from .suffix_dedup import suffix_dedup
+from .token_rollup import VOCABULARIES, WORDS, RollupStore, deletes, inserts, revisions, token_counts
+from .toxicity import toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +32,30 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer after inserts, a replay, deletes and revised counts.
+
+    All documents are inserted for two tokenizer versions; the first batch is sent once more, which
+    must change nothing; the documents of ids that 10 divides are deleted and inserted again, and
+    their counts by words revised and put back, so that the totals are those of the whole table.
+    """
+    docs = _docs(spark, sf_dir)
+    store = RollupStore(spark, f"{shared_folder(spark)}/rollup-{uuid4().hex}")
+    bpe = cut(token_counts(docs, "byte_bpe_50k", f"{VOCABULARIES}/byte_bpe_50k.tiktoken"))
+    words = cut(token_counts(docs, WORDS))
+    store.commit("insert-bpe", inserts(bpe))
+    store.commit("insert-words", inserts(words))
+    store.commit("insert-bpe", inserts(bpe))
+    some = F.col("doc_id") % 10 == 0
+    wrong = words.where(some).withColumn("n_tokens", F.col("n_tokens") + 1)
+    store.commit("delete", deletes(bpe.where(some)))
+    store.commit("revise", revisions(words.where(some), wrong))
+    store.compact()
+    store.commit("insert-again", inserts(bpe.where(some)))
+    store.commit("revise-back", revisions(wrong, words.where(some)))
+    return store.totals()
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return jaccard_join(_docs(spark, sf_dir), 3, 90)
@@ -40,11 +71,31 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their validated numbers, dates and addresses under pseudonyms."""
+    return pseudonymise(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under a 50-word repeat of an earlier document, removed from every document."""
     return phrase_dedup(_docs(spark, sf_dir)).drop("spans")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret candidates of all documents, with the forest's score."""
+    return scan(_docs(spark, sf_dir))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds."""
+    return decontaminate(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 NEAREST_SQL = """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings

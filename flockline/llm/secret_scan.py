@@ -1,0 +1,148 @@
+"""Secret scans: candidates by pattern, false positives removed by a random forest.
+
+Native: DataFrame, SQL and spark.ml functions only.
+
+A candidate is a run of 16 or more letters, digits, + / _ - with a digit in it, or a private key
+block.  Its features are its length, the transitions between character classes, how much of it
+dictionary words cover, whether it looks like a path, and the neighbouring words.  The forest is
+trained on labelled findings: a table of the caller's, or labelled_findings(), which makes them from
+a seed in the formats named there.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import Model
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ._session import cut
+
+BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]*PRIVATE KEY-----"
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{16,}+={0,2}"
+PATTERN = f"{BLOCK}|{RUN}"
+CONTEXT = 40
+FINDINGS = 4000
+TREES, DEPTH, SEED = 20, 7, 11
+#: Words that name a secret, and words that name something else of the same looks.
+SECRET_WORDS = "password passwd pwd secret token apikey api_key access_key auth bearer credential private key"
+OTHER_WORDS = "commit sha sha1 sha256 md5 checksum digest hash uuid guid id order invoice card account phone path file version build trace request"
+#: Words of identifiers and prose for dictionary coverage.
+DICTIONARY = "the and for with user name data file path test config server client version build index table value count image page item list page time date type code main util common model view service handler manager factory request response session number address message report order product customer"
+
+FEATURES = ["length", "digits", "upper", "lower", "symbols", "turns", "hex", "covered", "longest", "path", "named", "other", "assigned", "quoted", "known", "block"]
+
+
+def _class_turns(c: Column) -> Column:
+    """Changes of character class, as a share of the length."""
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[a-z]+", "a"), r"[A-Z]+", "A"), r"\d+", "0"), r"[^aA0]+", "_")
+    return (F.length(shape) - 1) / F.length(c)
+
+
+def _any(words: str) -> str:
+    return "|".join(words.split())
+
+
+def with_features(found: DataFrame) -> DataFrame:
+    """found (before, candidate, after) with the columns FEATURES."""
+    c, n = F.col("candidate"), F.length("candidate").cast("double")
+    share = lambda pattern: (n - F.length(F.regexp_replace(c, pattern, ""))) / n
+    last = F.lower(F.col("before"))
+    near = F.concat_ws(" ", F.regexp_extract(last, r"(\S+\s+)?\S*\s*\S*$", 0), F.lower(F.regexp_extract("after", r"^\S*\s*\S*", 0)))
+    runs = F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0))
+    columns = {
+        "length": n,
+        "digits": share(r"\d"),
+        "upper": share("[A-Z]"),
+        "lower": share("[a-z]"),
+        "symbols": share("[^A-Za-z0-9]"),
+        "turns": _class_turns(c),
+        "hex": c.rlike("^[0-9a-f]+$"),
+        "covered": share(f"(?i)(?:{_any(DICTIONARY)})"),
+        "longest": F.aggregate(runs, F.lit(0), lambda s, x: F.greatest(s, F.length(x))) / n,
+        "path": c.rlike(r"^/|/[a-z]+/|[a-z]{3,}[/_-][a-z]{3,}") | F.col("before").rlike(r"[/\\.]$") | F.col("after").rlike(r"^\.[a-z]{2,4}\b"),
+        "named": near.rlike(rf"(?:{_any(SECRET_WORDS)})"),
+        "other": near.rlike(rf"(?<![a-z])(?:{_any(OTHER_WORDS)})(?![a-z])"),
+        "assigned": F.col("before").rlike(r"[=:]\s*[\"']?$"),
+        "quoted": F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']"),
+        "known": c.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[opsu]_[A-Za-z0-9]{30,}$|^xox[abps]-|^sk_live_|^AIza[A-Za-z0-9_-]{30,}"),
+        "block": c.rlike("^-----BEGIN"),
+    }
+    return found.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in columns.items()})
+
+
+def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
+    """before, candidate, after, label: n findings in fixed formats, drawn from digests of their number."""
+    i = F.col("id")
+    draw = lambda salt: F.sha2(F.concat_ws("-", F.lit(salt), i.cast("string")), 256)
+    pick = lambda words, salt: F.element_at(F.split(F.lit(words), " "), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(words.split()))) + 1).cast("int"))
+    b64 = F.regexp_replace(F.base64(F.unhex(draw("b"))), "=+$", "")
+    capitals = F.translate(F.upper(F.regexp_replace(F.base64(F.unhex(draw("k"))), "[+/=]", "X")), "", "")
+    size = F.pmod(F.xxhash64(i, F.lit("size")), F.lit(24)) + 16
+    word, other, thing = pick("password token secret api_key access_key", "w"), pick("commit sha1 md5 checksum uuid id order card", "o"), pick(DICTIONARY, "t")
+    thing2 = pick(DICTIONARY, "u")
+    assign = F.element_at(F.array(F.lit("="), F.lit(" = \""), F.lit(": "), F.lit(" ")), (F.pmod(F.xxhash64(i, F.lit("a")), F.lit(4)) + 1).cast("int"))
+    plain = F.concat(F.lit("and "), thing, F.lit(" "))
+    numbers = F.regexp_replace(F.conv(F.substring(draw("n"), 1, 15), 16, 10), "^", "4")
+    uuid = F.concat_ws("-", *[F.substring(draw("g"), a, z) for a, z in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    shapes = [  # (before, candidate, label)
+        (F.concat(plain, word, assign), F.substring(draw("h"), 1, size.cast("int")), 1),
+        (F.concat(plain, word, assign), b64, 1),
+        (plain, F.concat(F.lit("AKIA"), F.substring(capitals, 1, 16)), 1),
+        (F.concat(plain, word, assign), F.concat(F.lit("AKIA"), F.substring(capitals, 1, 16)), 1),
+        (plain, F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(F.base64(F.unhex(draw("p"))), "[+/=]", "x"), 1, 36)), 1),
+        (F.concat(plain, other, F.lit(" ")), F.substring(draw("c"), 1, 40), 0),
+        (F.concat(plain, other, F.lit(": ")), F.substring(draw("c"), 1, 32), 0),
+        (F.concat(plain, other, F.lit(" ")), uuid, 0),
+        (plain, F.substring(numbers, 1, 16), 0),
+        (F.concat(plain, other, F.lit(" ")), F.substring(numbers, 1, 16), 0),
+        (F.concat(plain, F.lit("/")), F.concat_ws("/", thing, thing2, F.concat(thing, F.pmod(i, F.lit(90)).cast("string"))), 0),
+        (plain, F.concat_ws("_", thing, thing2, thing, F.pmod(i, F.lit(9000)).cast("string")), 0),
+        (plain, F.concat(F.initcap(thing), F.initcap(thing2), F.lit("Handler"), F.pmod(i, F.lit(90)).cast("string")), 0),
+        (plain, F.concat_ws("-", thing, thing2, F.lit("2021-04"), F.pmod(i, F.lit(30)).cast("string")), 0),
+    ]
+    rows = F.element_at(F.array(*[F.struct(b.alias("before"), c.alias("candidate"), F.lit(y).alias("label")) for b, c, y in shapes]), (F.pmod(i, F.lit(len(shapes))) + 1).cast("int"))
+    after = F.when(rows["before"].rlike('"$'), F.concat(F.lit('" '), thing2)).otherwise(F.concat(F.lit(" "), thing2))
+    return spark.range(0, n, 1, 2).select(rows["before"].alias("before"), rows["candidate"].alias("candidate"), after.alias("after"), rows["label"].cast("double").alias("label"))
+
+
+def train(findings: DataFrame) -> Model:
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(findings)).select("features", "label")
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(cut(rows))
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, place (characters before it), before, candidate, after: every candidate of docs (doc_id, text)."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    rows = rows.where(F.size("found") > 0).withColumn("pieces", F.split("text", PATTERN, -1)).drop("text")
+    # between the candidates lie the pieces: piece 0, candidate 0, piece 1, ...
+    upto = lambda i: F.aggregate(F.slice("pieces", 1, i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("found", 1, i), F.lit(0), lambda s, x: s + F.length(x))
+    each = F.transform(
+        "found",
+        lambda c, i: F.struct(
+            F.right(F.get("pieces", i), F.lit(CONTEXT)).alias("before"),
+            c.alias("candidate"),
+            F.left(F.get("pieces", i + 1), F.lit(CONTEXT)).alias("after"),
+            upto(i).cast("long").alias("place"),
+        ),
+    )
+    return rows.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.place", "x.before", "x.candidate", "x.after")
+
+
+def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """One row for each candidate of docs (doc_id, text): doc_id, place, n_chars, candidate_sha256, score, is_secret.
+
+    The candidate itself is not returned, only its place, length and digest.
+
+    Defined cases: null and empty texts have no candidates; a null doc_id is reported as such;
+    rows that share a doc_id are scanned each; repeated candidates are rows each; an empty table
+    gives an empty result; other columns are ignored.
+    """
+    model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(candidates(docs)))
+    score = F.round(F.get(vector_to_array("probability"), F.lit(1)), 6)
+    out = model.transform(rows).withColumn("score", score)
+    return out.select("doc_id", "place", F.length("candidate").cast("long").alias("n_chars"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", (F.col("score") >= 0.5).alias("is_secret"))
