@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the hashes of its lower-cased words, of adjacent pairs, and of pairs with one
-word between them, each once a text.  FTRL-proximal keeps a rate for every coordinate; its L1 term
+Features of a text are the hashes of its lower-cased words, of their stems (the first STEM bytes of
+longer words, so that inflections share a feature), of adjacent pairs, and of pairs with one word
+between them, each once a text.  FTRL-proximal keeps a rate for every coordinate; its L1 term
 leaves nearly all weights at exactly zero, so the model is a short list of (feature, weight) that is
 broadcast: DIMENSIONS bounds it.
 
@@ -26,7 +27,8 @@ BITS = 20
 DIMENSIONS = 1 << BITS
 TRAINING = 12_000
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 2.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 1.0
+STEM = 4
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 
@@ -48,7 +50,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, woff = kn.words(data, offsets)
     w = kn.word_hashes(data, starts, ends)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(woff))
-    rows, found = [row], [w]
+    long_ = ends - starts > STEM
+    stems = kn.mix64(kn.word_hashes(data, starts[long_], starts[long_] + STEM) + U(7))
+    rows, found = [row, row[long_]], [w, stems]
     for gap in (1, 2):
         if len(w) > gap:
             inside = row[gap:] == row[:-gap]
