@@ -1,0 +1 @@
+"""flockline: co-movement queries over tracked objects, as Spark plans."""
