@@ -7,9 +7,17 @@ polynomials modulo 2**64 over randomised byte values: ``hash(s, e) = (H[e] - H[s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
+# Large arrays are given back to the system when they are freed, so that a worker, which lives on
+# for other tasks, does not keep the most it ever used (glibc's default threshold grows to 32 MB).
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)

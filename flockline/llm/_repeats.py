@@ -3,26 +3,27 @@
 A window is N consecutive units (bytes or words) of one document.  A unit goes when some window
 that covers it also starts in a document with a smaller id.  Steps, all in one lazy plan:
 
+0. *Copies.*  Of equal texts the one with the least id stands for all in steps 1 to 4.
 1. *Anchors.*  Each document's windows choose their least K-gram (winnowing).  Equal windows
    choose equal anchors, so a repeated window is always seen through a shared anchor.
 2. *Shared anchors.*  Anchor hashes meet by bucket; those of two documents or more are reported
-   back.  Of an anchor that a batch already holds twice, only the least document travels, so a
-   passage of a third of all documents arrives once a batch and not once a document.
+   back.  Of an anchor that a group already holds twice, only the least document travels, so a
+   passage of a third of all documents arrives once a group and not once a document.
 3. *Contexts.*  Each document sends the N-K units before and N units after its shared anchors,
-   again once a batch for equal contexts; the others are settled there and then.
+   again once a group for equal contexts; the others are settled there and then.
 4. *Resolution*, by the operator's own method: which windows of a context start in a smaller
    document.
 5. *Application* of the spans to the documents.
 
 Rows travel as compressed blocks a bucket.  The number of buckets follows the bytes of text, so a
 group of a grouped step stays near GROUP_BYTES.  The documents are dealt by id in one exchange
-that steps 3 and 5 share.  Hashes only propose: every removal compares the units themselves.
+that steps 1, 3 and 5 share.  Hashes only propose: every removal compares the units themselves.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as kn
-from ._session import ship, text_buckets
+from ._session import cut, ship, text_buckets
 
 U = np.uint64
 BLOCKS = "key long, block binary"
 _KNOWN = np.uint32(1 << 31)
+#: Contexts that a resolver gets at once; those of one phrase stay together.
+CONTEXTS = 16_384
 SPAN_KINDS = (np.int64, np.uint32, np.uint32, np.uint32)
 
 
@@ -58,8 +61,8 @@ def next_prime(n: int) -> int:
     return n
 
 
-def _row_key(doc: np.ndarray, crc: np.ndarray) -> np.ndarray:
-    return kn.mix64(doc.view(U)) + crc.astype(U) * U(0x9E3779B97F4A7C15)
+def _row_key(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    return kn.mix64(doc.view(U)) + tag.astype(U) * U(0x9E3779B97F4A7C15)
 
 
 class Units:
@@ -82,59 +85,73 @@ class Units:
         return self.starts[first], self.ends[after - 1]
 
 
-def _texts(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc, has an id, crc, bytes, offsets."""
-    ids = table.column("doc_id")
-    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-    has = np.asarray(ids.is_valid())
-    doc = np.asarray(ids.fill_null(0)).astype(np.int64)
-    data, offsets = kn.flat_text(table.column("text"))
-    view = memoryview(np.ascontiguousarray(data))
-    crc = np.fromiter((zlib.crc32(view[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)), np.uint32, len(doc))
-    return doc, has, crc, data, offsets
-
-
-def _anchors(kind: str, window: int, k: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches):
-        for batch in batches:
-            doc, has, crc, data, offsets = _texts(batch)
-            rows, grams, places = [], [], []
-            for a, b in kn.chunks(offsets):
-                units = Units(kind, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                at, h = kn.winnow(units.values, units.offsets, window, k)
-                row = np.searchsorted(units.offsets, at, "right") - 1
-                rows.append(row + a)
-                grams.append(h)
-                places.append((at - units.offsets[row]).astype(np.uint32))
-            if not rows:
-                continue
-            row, h, at = np.concatenate(rows), np.concatenate(grams), np.concatenate(places)
-            keep = has[row]
-            row, h, at = row[keep], h[keep], at[keep]
-            order = np.lexsort((doc[row], h))
-            row, h, at = row[order], h[order], at[order]
-            first = kn.new_groups(h)
-            group = np.cumsum(first) - 1
-            least = doc[row][first]
-            twice = np.bincount(group, doc[row] != least[group], minlength=len(least)) > 0
-            twice = twice[group]
-            keys, blocks = [], []
-            for key, (d, c, p) in kn.split_rows(doc_bucket(doc[row[twice]], n), doc[row[twice]], crc[row[twice]], at[twice]):
-                keys.append(-key - 1)
-                blocks.append(kn.pack(d, c, p))
-            sent = ~twice | first
-            row, h, at = row[sent], h[sent], np.where(twice[sent], at[sent] | _KNOWN, at[sent])
-            order = np.argsort(row, kind="stable")
-            row, h, at = row[order], h[order], at[order]
-            for key, (r, g, p) in kn.split_rows((h % U(n)).astype(np.int64), row, h // U(n), at):
-                cut = np.flatnonzero(kn.new_groups(r))
-                keys.append(key)
-                blocks.append(kn.pack(doc[r[cut]], crc[r[cut]], np.diff(np.r_[cut, len(r)]).astype(np.uint32), g.astype(np.uint32), (g >> U(32)).astype(np.uint16), p))
-                if len(keys) >= 4096:
-                    yield _blocks(keys, blocks)
-                    keys, blocks = [], []
-            if keys:
-                yield _blocks(keys, blocks)
+class Texts:
+    """The rows of a group: ids, texts, and what tells apart rows that share an id."""
+
+    def __init__(self, table: pa.Table):
+        ids = table.column("doc_id").combine_chunks()
+        ids = ids if isinstance(ids, pa.Array) else ids.chunk(0)
+        self.has = np.asarray(ids.is_valid())
+        self.doc = np.asarray(ids.fill_null(0)).astype(np.int64)
+        self.data, self.offsets = kn.flat_text(table.column("text"))
+        view, offsets = memoryview(np.ascontiguousarray(self.data)), self.offsets.tolist()
+        self.crc = np.fromiter((zlib.crc32(view[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)), np.uint32, len(self.doc))
+        _, same, count = np.unique(self.doc, return_inverse=True, return_counts=True)
+        # a group holds all rows of an id; the digest is named only where it is needed
+        self.tag = np.where(count[same] > 1, self.crc, 0).astype(np.uint32)
+
+    def __len__(self):
+        return len(self.doc)
+
+    def copies(self, found: pa.Table) -> np.ndarray:
+        """Rows that are exact copies of a document with a smaller id."""
+        if not found.num_rows:
+            return np.zeros(len(self), bool)
+        known = _row_key(np.asarray(found.column("copy")).astype(np.int64), np.asarray(found.column("crc")))
+        return self.has & np.isin(_row_key(self.doc, self.crc), known)
+
+    def units(self, kind: str):
+        for a, b in kn.chunks(self.offsets):
+            o = self.offsets[a : b + 1]
+            yield a, b, Units(kind, self.data[o[0] : o[-1]], o - o[0])
+
+
+def _anchors(kind: str, window: int, k: int, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(docs, copies):
+        if not docs.num_rows:
+            return _table([], [])
+        texts = Texts(docs)
+        searched = texts.has & ~texts.copies(copies)
+        doc = texts.doc
+        rows, grams, places = [], [], []
+        for a, _, units in texts.units(kind):
+            at, h = kn.winnow(units.values, units.offsets, window, k)
+            row = np.searchsorted(units.offsets, at, "right") - 1
+            keep = searched[row + a]
+            row, at = row[keep], at[keep]
+            rows.append((row + a).astype(np.int32))
+            grams.append(h[keep])
+            places.append((at - units.offsets[row]).astype(np.uint32))
+        row, h, at = np.concatenate(rows), np.concatenate(grams), np.concatenate(places)
+        order = np.lexsort((doc[row], h))
+        row, h, at = row[order], h[order], at[order]
+        first = kn.new_groups(h)
+        group = np.cumsum(first) - 1
+        least = doc[row][first]
+        twice = (np.bincount(group, doc[row] != least[group], minlength=len(least)) > 0)[group]
+        keys, blocks = [], []
+        for key, (d, p) in kn.split_rows(doc_bucket(doc[row[twice]], n), doc[row[twice]], at[twice]):
+            keys.append(-key - 1)
+            blocks.append(kn.pack(d, p))
+        sent = ~twice | first
+        row, h, at = row[sent], h[sent], np.where(twice[sent], at[sent] | _KNOWN, at[sent])
+        order = np.argsort(row, kind="stable")
+        row, h, at = row[order], h[order], at[order]
+        for key, (r, g, p) in kn.split_rows((h % U(n)).astype(np.int64), row, h // U(n), at):
+            cut = np.flatnonzero(kn.new_groups(r))
+            keys.append(key)
+            blocks.append(kn.pack(doc[r[cut]], np.diff(np.r_[cut, len(r)]).astype(np.uint32), g.astype(np.uint32), (g >> U(32)).astype(np.uint16), p))
+        return _table(keys, blocks)
 
     return run
 
@@ -144,20 +161,20 @@ def _shared(n: int) -> Callable[[pa.Table], pa.Table]:
         key = table.column("key")[0].as_py()
         if key < 0:
             return table
-        parts = [kn.unpack(v.as_py(), np.int64, np.uint32, np.uint32, np.uint32, np.uint16, np.uint32) for v in table.column("block")]
-        doc, crc = (np.concatenate([np.repeat(p[i], p[2]) for p in parts]) for i in (0, 1))
-        low, high, at = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
+        parts = [kn.unpack(v.as_py(), np.int64, np.uint32, np.uint32, np.uint16, np.uint32) for v in table.column("block")]
+        doc = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+        low, high, at = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
         h = low.astype(U) | (high.astype(U) << U(32))
         order = np.argsort(h, kind="stable")
-        h, doc, crc, at = h[order], doc[order], crc[order], at[order]
+        h, doc, at = h[order], doc[order], at[order]
         first = kn.new_groups(h)
         group = np.cumsum(first) - 1
         many = (np.bincount(group, doc != doc[first][group]) > 0)[group]
         many &= at < _KNOWN
         keys, blocks = [], []
-        for db, (d, c, p) in kn.split_rows(doc_bucket(doc[many], n), doc[many], crc[many], at[many]):
+        for db, (d, p) in kn.split_rows(doc_bucket(doc[many], n), doc[many], at[many]):
             keys.append(-db - 1)
-            blocks.append(kn.pack(d, c, p))
+            blocks.append(kn.pack(d, p))
         return _table(keys, blocks)
 
     return run
@@ -175,22 +192,22 @@ def settle_equal(key: np.ndarray, doc: np.ndarray, flat: np.ndarray, start: np.n
     rep[order] = head
     later = np.flatnonzero((doc > doc[rep]) & (length == length[rep]))
     settled = np.zeros(len(key), bool)
-    for part in np.array_split(later, max(1, int(length[later].sum() >> 23))):
+    for part in np.array_split(later, max(1, int(length[later].sum() >> 20))):
         same = flat[kn.ranges(start[part], length[part])] == flat[kn.ranges(start[rep[part]], length[part])]
         if len(part):
             settled[part] = np.logical_and.reduceat(same, np.r_[0, np.cumsum(length[part])[:-1]])
     return settled, ~settled
 
 
-def _spans(n: int, doc, crc, start, end) -> tuple[list[int], list[bytes]]:
+def _spans(n: int, doc, tag, start, end) -> tuple[list[int], list[bytes]]:
     keys, blocks = [], []
-    for db, cols in kn.split_rows(doc_bucket(doc, n), doc, crc, start.astype(np.uint32), end.astype(np.uint32)):
+    for db, cols in kn.split_rows(doc_bucket(doc, n), doc, tag, start.astype(np.uint32), end.astype(np.uint32)):
         keys.append(-db - 1)
         blocks.append(kn.pack(*cols))
     return keys, blocks
 
 
-CONTEXT_KINDS = (np.int64, np.uint32, np.uint32, np.uint64, np.uint16, np.uint32, np.uint8)
+CONTEXT_KINDS = (np.int64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint8)
 
 
 def _contexts(kind: str, window: int, k: int, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -199,49 +216,43 @@ def _contexts(kind: str, window: int, k: int, n: int) -> Callable[[pa.Table, pa.
     def run(docs, found):
         if not docs.num_rows or not found.num_rows:
             return _table([], [])
-        d, c, p = kn.unpack_all(found.column("block"), np.int64, np.uint32, np.uint32)
-        key = _row_key(d, c)
-        order = np.lexsort((p, key))
-        key, p = key[order], p[order].astype(np.int64)
-        once = kn.new_groups(key, p)
-        key, p = key[once], p[once]
-        doc, has, crc, data, offsets = _texts(docs)
-        own = _row_key(doc, crc)
-        lo, hi = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
-        hi[~has] = lo[~has]
-        keys, blocks = [], []
-        for a, b in kn.chunks(offsets, 4 * kn.CHUNK_BYTES):
-            if not (hi[a:b] > lo[a:b]).any():
-                continue
-            units = Units(kind, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        d, p = kn.unpack_all(found.column("block"), np.int64, np.uint32)
+        order = np.lexsort((p, d))
+        d, p = d[order], p[order].astype(np.int64)
+        once = kn.new_groups(d, p)
+        d, p = d[once], p[once]
+        texts = Texts(docs)
+        lo, hi = np.searchsorted(d, texts.doc, "left"), np.searchsorted(d, texts.doc, "right")
+        hi[~texts.has] = lo[~texts.has]
+        parts = []
+        for a, b, units in texts.units(kind):
             count = hi[a:b] - lo[a:b]
             row = np.repeat(np.arange(b - a), count)
             base, limit = units.offsets[row], units.offsets[row + 1]
             at = p[kn.ranges(lo[a:b], count)] + base
-            ok = at + k <= limit
-            row, at, base, limit = row[ok], at[ok], base[ok], limit[ok]
+            first, after = np.maximum(base, at - reach), np.minimum(limit, at + window)
+            # rows that share an id get each other's anchors: some lie beyond their end
+            ok = (at + k <= limit) & (after - first >= window)
+            row, at, base, first, after = row[ok], at[ok], base[ok], first[ok], after[ok]
             if not len(at):
                 continue
             prefix = kn.prefix_hash(units.values)
-            gram = kn.mix64(kn.span_hash(prefix, at, at + k)) | U(1)
-            first, after = np.maximum(base, at - reach), np.minimum(limit, at + window)
-            left, size = at - first, after - first
+            gram = kn.mix64(kn.span_hash(prefix, at, at + k))
             start, end = units.slices(first, after)
-            length = end - start
             raw = prefix if kind == "bytes" else kn.prefix_hash(kn.BYTE_VALUE[units.data])
-            whole = kn.mix64(kn.span_hash(raw, start, end)) + left.astype(U)
-            rdoc, rcrc = doc[a:b][row], crc[a:b][row]
-            settled, kept = settle_equal(whole, rdoc, units.data, start, length)
-            settled &= size >= window
-            more = _spans(n, rdoc[settled], rcrc[settled], (first - base)[settled], (after - base)[settled])
-            keys += more[0]
-            blocks += more[1]
-            kept &= size >= window
-            bucket = (gram % U(n)).astype(np.int64)
-            for to, (i,) in kn.split_rows(bucket[kept], np.flatnonzero(kept)):
-                body = units.data[kn.ranges(start[i], length[i])]
-                keys.append(to)
-                blocks.append(kn.pack(rdoc[i], rcrc[i], (at - base)[i].astype(np.uint32), gram[i], left[i].astype(np.uint16), length[i].astype(np.uint32), body))
+            whole = kn.mix64(kn.span_hash(raw, start, end)) + (at - first).astype(U)
+            parts.append(((row + a).astype(np.int32), (at - base).astype(np.uint32), gram % U(n), (at - first).astype(np.uint16), (after - at).astype(np.uint16), start + texts.offsets[a], (end - start).astype(np.int32), whole))
+        if not parts:
+            return _table([], [])
+        row, at, bucket, left, right, start, length, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        settled, kept = settle_equal(whole, texts.doc[row], texts.data, start, length)
+        r = row[settled]
+        keys, blocks = _spans(n, texts.doc[r], texts.tag[r], at[settled] - left[settled], at[settled] + right[settled])
+        for to, (i,) in kn.split_rows(bucket[kept].astype(np.int64), np.flatnonzero(kept)):
+            body = texts.data[kn.ranges(start[i], length[i].astype(np.int64))]
+            keys.append(to)
+            blocks.append(kn.pack(texts.doc[row[i]], texts.tag[row[i]], at[i], left[i], length[i].astype(np.uint32), body))
         return _table(keys, blocks)
 
     return run
@@ -252,39 +263,39 @@ def _resolved(kind: str, n: int, resolver) -> Callable[[pa.Table], pa.Table]:
         key = table.column("key")[0].as_py()
         if key < 0:
             return table
-        doc, crc, at, gram, left, length, flat = kn.unpack_all(table.column("block"), *CONTEXT_KINDS)
-        length = length.astype(np.int64)
-        left = left.astype(np.int64)
+        doc, tag, at, left, length, flat = kn.unpack_all(table.column("block"), *CONTEXT_KINDS)
+        at, left, length = at.astype(np.int64), left.astype(np.int64), length.astype(np.int64)
         start = np.r_[0, np.cumsum(length)[:-1]]
-        prefix = kn.prefix_hash(kn.BYTE_VALUE[flat])
-        whole = kn.mix64(kn.span_hash(prefix, start, start + length)) + left.astype(U)
-        settled, _ = settle_equal(whole, doc, flat, start, length)
-        low, high = np.full(len(doc), -1, np.int64), np.full(len(doc), -1, np.int64)
-        order = np.argsort(gram, kind="stable")
-        first = kn.new_groups(gram[order])
-        group = np.empty(len(doc), np.int64)
-        group[order] = np.cumsum(first) - 1
-        lone = ~settled
-        heads = np.full(first.sum(), np.iinfo(np.int64).max)
-        np.minimum.at(heads, group[lone], doc[lone])
-        several = np.bincount(group[lone], doc[lone] != heads[group[lone]], minlength=len(heads)) > 0
+        whole = np.empty(len(doc), U)
+        gram = np.empty(len(doc), U)
+        right = np.empty(len(doc), np.int64)
+        cuts = np.r_[start, length.sum()]
+        for a, b in kn.chunks(cuts):
+            units = Units(kind, flat[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
+            prefix = kn.prefix_hash(units.values)
+            o = units.offsets[:-1]
+            whole[a:b] = kn.mix64(kn.span_hash(prefix, o, units.offsets[1:])) + left[a:b].astype(U)
+            gram[a:b] = kn.span_hash(prefix, o + left[a:b], o + left[a:b] + resolver.gram)
+            right[a:b] = np.diff(units.offsets) - left[a:b]
+        settled, lone = settle_equal(whole, doc, flat, start, length)
+        _, group = np.unique(gram, return_inverse=True)
+        least = np.full(len(doc), np.iinfo(np.int64).max)
+        np.minimum.at(least, group[lone], doc[lone])
+        several = np.bincount(group[lone], doc[lone] != least[group[lone]], minlength=len(doc)) > 0
         todo = np.flatnonzero(lone & several[group])
-        if kind == "words":  # whole contexts were settled by bytes; their extent is counted in words
-            n_left, n_right = left, np.zeros_like(left)
-            for i in np.flatnonzero(settled):
-                n_right[i] = len(flat[start[i] : start[i] + length[i]].tobytes().split()) - left[i]
-        else:
-            n_left, n_right = left, length - left
-        s, e = (at - n_left)[settled], (at + n_right)[settled]
-        if len(todo):
-            low, high = resolver(gram[todo], doc[todo], left[todo], flat, start[todo], length[todo])
+        todo = todo[np.argsort(group[todo], kind="stable")]
+        out = [(doc[settled], tag[settled], (at - left)[settled], (at + right)[settled])]
+        begins = np.r_[np.flatnonzero(kn.new_groups(group[todo])), len(todo)]
+        a = 0
+        while a < len(begins) - 1:
+            b = max(a + 1, int(np.searchsorted(begins, begins[a] + CONTEXTS, "right")) - 1)
+            rows = todo[begins[a] : begins[b]]
+            low, high = resolver(group[rows], doc[rows], left[rows], right[rows], flat, start[rows], length[rows])
             hit = low >= 0
-            s = np.r_[s, at[todo][hit] - high[hit]]
-            e = np.r_[e, at[todo][hit] - low[hit] + resolver.window]
-            doc, crc = np.r_[doc[settled], doc[todo][hit]], np.r_[crc[settled], crc[todo][hit]]
-        else:
-            doc, crc = doc[settled], crc[settled]
-        return _table(*_spans(n, doc, crc, s, e))
+            rows = rows[hit]
+            out.append((doc[rows], tag[rows], at[rows] - high[hit], at[rows] - low[hit] + resolver.window))
+            a = b
+        return _table(*_spans(n, *(np.concatenate(x) for x in zip(*out, strict=True))))
 
     return run
 
@@ -331,16 +342,16 @@ def row_prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def covered(found: pa.Table, doc: np.ndarray, crc: np.ndarray, has: np.ndarray):
-    """For each document row, its merged spans (starts, ends), as lists of arrays."""
-    d, c, s, e = kn.unpack_all(found.column("block"), *SPAN_KINDS) if found.num_rows else (np.zeros(0, k) for k in SPAN_KINDS)
-    key = _row_key(d, c)
+def covered(texts: Texts, found: pa.Table):
+    """For each row, its merged spans (starts, ends) or None; unit positions."""
+    d, t, s, e = kn.unpack_all(found.column("block"), *SPAN_KINDS) if found.num_rows else (np.zeros(0, k) for k in SPAN_KINDS)
+    key = _row_key(d, t)
     order = np.lexsort((s, key))
     key, s, e = key[order], s[order].astype(np.int64), e[order].astype(np.int64)
-    own = _row_key(doc, crc)
+    own = _row_key(texts.doc, texts.tag)
     lo, hi = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
-    hi[~has] = lo[~has]
-    for a, b in zip(lo, hi, strict=True):
+    hi[~texts.has] = lo[~texts.has]
+    for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
         if a == b:
             yield None
             continue
@@ -349,16 +360,38 @@ def covered(found: pa.Table, doc: np.ndarray, crc: np.ndarray, has: np.ndarray):
         yield s[a:b][new], top[np.r_[np.flatnonzero(new)[1:] - 1, b - a - 1]]
 
 
-def remove_repeats(docs: DataFrame, kind: str, window: int, k: int, resolver, apply, schema: str) -> DataFrame:
-    """docs (doc_id, text) through the five steps; apply(rows, found) makes each document's result."""
+def _applied(result, schema: pa.Schema):
+    """result(bytes of a text, spans or None, whether it is a copy) gives the columns after doc_id."""
+
+    def run(docs, found):
+        rows = []
+        if docs.num_rows:
+            texts = Texts(docs)
+            copy = texts.copies(found.filter(found.column("crc").is_valid()))
+            spans = covered(texts, found.filter(found.column("block").is_valid()))
+            view, offsets = memoryview(np.ascontiguousarray(texts.data)), texts.offsets.tolist()
+            rows = [(d if h else None, *result(view[a:b], s, c)) for d, h, a, b, s, c in zip(texts.doc.tolist(), texts.has.tolist(), offsets[:-1], offsets[1:], spans, copy.tolist(), strict=True)]
+        columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, kind: str, window: int, k: int, resolver, result, schema: str, arrow_schema: pa.Schema) -> DataFrame:
+    """docs (doc_id, text) through the five steps; result() makes each document's columns."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = next_prime(text_buckets(docs))
-    anchors = docs.mapInArrow(_anchors(kind, window, k, n), BLOCKS)
-    shared = anchors.groupBy("key").applyInArrow(_shared(n), BLOCKS)
-    dealt = docs.withColumn("db", F.coalesce(F.pmod("doc_id", F.lit(n)), F.lit(0)).cast("long"))
+    bucket = F.coalesce(F.pmod("doc_id", F.lit(n)), F.lit(0)).cast("long")
+    names = cut(docs.where("doc_id is not null and text is not null").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), F.unhex(F.sha2("text", 256)).alias("name")))
+    first = names.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    copies = names.join(first, "name").where("doc_id > first").select(bucket.alias("db"), F.col("doc_id").alias("copy"), F.col("crc").alias("crc"))
+    dealt = docs.withColumn("db", bucket).groupBy("db")
     back = lambda df: df.withColumn("db", -F.col("key") - 1)
-    contexts = dealt.groupBy("db").cogroup(back(shared).groupBy("db")).applyInArrow(_contexts(kind, window, k, n), BLOCKS)
+    anchors = dealt.cogroup(copies.groupBy("db")).applyInArrow(_anchors(kind, window, k, n), BLOCKS)
+    shared = anchors.groupBy("key").applyInArrow(_shared(n), BLOCKS)
+    contexts = dealt.cogroup(back(shared).groupBy("db")).applyInArrow(_contexts(kind, window, k, n), BLOCKS)
     spans = contexts.groupBy("key").applyInArrow(_resolved(kind, n, resolver), BLOCKS)
-    return dealt.groupBy("db").cogroup(back(spans).groupBy("db")).applyInArrow(apply, schema)
-
+    found = back(spans).select("db", "block", F.lit(None).cast("long").alias("copy"), F.lit(None).cast("long").alias("crc"))
+    found = found.unionByName(copies.withColumn("block", F.lit(None).cast("binary")))
+    return dealt.cogroup(found.groupBy("db")).applyInArrow(_applied(result, arrow_schema), schema)

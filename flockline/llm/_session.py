@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 8 << 20
 #: Bytes of text that a map task holds at once with all that it derives from them.
 SEGMENT = 8 << 20
 

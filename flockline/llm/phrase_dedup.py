@@ -47,13 +47,12 @@ def locate(phrases: list[str], passages: list[tuple[str, int]]) -> np.ndarray:
 
 
 class WordResolver:
-    window = WINDOW
+    window, gram = WINDOW, GRAM
 
-    def __call__(self, gram, doc, left, flat, start, length):
+    def __call__(self, gram, doc, left, right, flat, start, length):
         m = len(doc)
         tokens: dict[bytes, int] = {}
         matrix = np.full((m, REACH + WINDOW), -1, np.int64)
-        right = np.zeros(m, np.int64)
         passages: list[tuple[str, int]] = []
         phrases: dict[str, int] = {}
         own: list[int] = []
@@ -61,7 +60,6 @@ class WordResolver:
         for i in range(m):
             ws = whole[start[i] : start[i] + length[i]].split()
             ln = int(left[i])
-            right[i] = len(ws) - ln
             matrix[i, REACH - ln : REACH - ln + len(ws)] = [tokens.setdefault(w, len(tokens)) for w in ws]
             head = sum(map(len, ws[:ln])) + ln  # characters before the phrase, its leading space excluded
             phrase = (b" " + b" ".join(ws[ln : ln + GRAM]) + b" ").decode("latin-1")
@@ -86,28 +84,24 @@ class WordResolver:
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-
-
-def _apply(docs: pa.Table, found: pa.Table) -> pa.Table:
-    out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "spans")}
-    if docs.num_rows:
-        doc, has, crc, data, offsets = rp._texts(docs)
-        whole = np.ascontiguousarray(data).tobytes()
-        for i, spans in enumerate(rp.covered(found, doc, crc, has)):
-            ws = whole[offsets[i] : offsets[i + 1]].split()
-            n, removed, pairs = len(ws), 0, []
-            if spans is not None:
-                kept, at = [], 0
-                for s, e in zip(*(x.tolist() for x in spans), strict=True):
-                    kept += ws[at:s]
-                    at = e
-                    removed += e - s
-                    pairs.append({"start": s, "end": e})
-                ws = kept + ws[at:]
-            for k, v in zip(out, (int(doc[i]) if has[i] else None, n, removed, hashlib.sha256(b" ".join(ws)).hexdigest(), pairs), strict=True):
-                out[k].append(v)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-    return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", _SPAN)])
+
+
+def _result(text: memoryview, spans, copy: bool):
+    ws = bytes(text).split()
+    n, removed, pairs = len(ws), 0, []
+    if copy and n >= WINDOW:
+        spans = np.array([0]), np.array([n])
+    if spans is not None:
+        kept, at = [], 0
+        for s, e in zip(*(x.tolist() for x in spans), strict=True):
+            kept += ws[at:s]
+            at = e
+            removed += e - s
+            pairs.append({"start": s, "end": e})
+        ws = kept + ws[at:]
+    return n, removed, hashlib.sha256(b" ".join(ws)).hexdigest(), pairs
 
 
 def phrase_dedup(docs: DataFrame) -> DataFrame:
@@ -121,4 +115,4 @@ def phrase_dedup(docs: DataFrame) -> DataFrame:
     a doc_id are judged each, against smaller ids only; an empty table gives an empty result; other
     columns of docs are ignored, whatever their names.
     """
-    return rp.remove_repeats(docs, "words", WINDOW, GRAM, WordResolver(), _apply, SCHEMA)
+    return rp.remove_repeats(docs, "words", WINDOW, GRAM, WordResolver(), _result, SCHEMA, ARROW)

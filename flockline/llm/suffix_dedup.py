@@ -120,17 +120,15 @@ class SuffixSort:
 
 
 class ByteResolver:
-    window = WINDOW
+    window, gram = WINDOW, GRAM
 
-    def __call__(self, gram, doc, left, flat, start, length):
+    def __call__(self, group, doc, left, right, flat, start, length):
         m = len(doc)
-        cols = np.arange(REACH + WINDOW)
-        right = length - left
-        offset = cols[None, :] - REACH + left[:, None]
-        inside = (offset >= 0) & (offset < length[:, None])
-        matrix = np.where(inside, flat[np.clip(start[:, None] + offset, 0, len(flat) - 1)], 0).astype(np.uint8)
+        offset = np.arange(REACH + WINDOW, dtype=np.int32)[None, :] - (REACH - left)[:, None].astype(np.int32)
+        outside = (offset < 0) | (offset >= length[:, None])
+        matrix = flat[np.minimum(start[:, None] + np.maximum(offset, 0), len(flat) - 1)]
+        matrix[outside] = 0
         prefix = rp.row_prefix(kn.BYTE_VALUE[matrix])
-        _, group = np.unique(gram, return_inverse=True)
         order, lcp = SuffixSort(matrix, prefix, REACH, right).sort(group)
         place = np.empty(m, np.int64)
         place[order] = np.arange(m)
@@ -142,27 +140,22 @@ class ByteResolver:
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", _SPAN)])
 
 
-def _apply(docs: pa.Table, found: pa.Table) -> pa.Table:
-    out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
-    if docs.num_rows:
-        doc, has, crc, data, offsets = rp._texts(docs)
-        view = memoryview(np.ascontiguousarray(data))
-        for i, spans in enumerate(rp.covered(found, doc, crc, has)):
-            a, b = int(offsets[i]), int(offsets[i + 1])
-            digest, removed, at, pairs = hashlib.sha256(), 0, a, []
-            if spans is not None:
-                for s, e in zip(*(x.tolist() for x in spans), strict=True):
-                    digest.update(view[at : a + s])
-                    at = a + e
-                    removed += e - s
-                    pairs.append({"start": s, "end": e})
-            digest.update(view[at:b])
-            for k, v in zip(out, (int(doc[i]) if has[i] else None, b - a, removed, len(pairs), digest.hexdigest(), pairs), strict=True):
-                out[k].append(v)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-    return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+def _result(text: memoryview, spans, copy: bool):
+    n, removed, at, pairs, digest = len(text), 0, 0, [], hashlib.sha256()
+    if copy and n >= WINDOW:
+        spans = np.array([0]), np.array([n])
+    if spans is not None:
+        for s, e in zip(*(x.tolist() for x in spans), strict=True):
+            digest.update(text[at:s])
+            at = e
+            removed += e - s
+            pairs.append({"start": s, "end": e})
+    digest.update(text[at:])
+    return n, removed, len(pairs), digest.hexdigest(), pairs
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -175,4 +168,4 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     judged each, against smaller ids only; an empty table gives an empty result; other columns of
     docs are ignored, whatever their names.
     """
-    return rp.remove_repeats(docs, "bytes", WINDOW, GRAM, ByteResolver(), _apply, SCHEMA)
+    return rp.remove_repeats(docs, "bytes", WINDOW, GRAM, ByteResolver(), _result, SCHEMA, ARROW)
