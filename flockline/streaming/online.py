@@ -17,10 +17,13 @@ from ..functions.points import select_points
 from ..schema import Query
 from .pool import PatternPool
 
+#: Frame 0, in ms: watermarks start at the epoch, and rows at or before them are late.
+ORIGIN_MS = 946_684_800_000
+
 
 def with_event_time(points: DataFrame, fps: float) -> DataFrame:
     """points with `ts`, the frame's time."""
-    return points.withColumn("ts", F.timestamp_millis((F.col("fid") * (1000 / fps)).cast("long")))
+    return points.withColumn("ts", F.timestamp_millis((F.col("fid") * (1000 / fps)).cast("long") + ORIGIN_MS))
 
 
 def _merge(spans: list[list[int]], fids: list[int]) -> list[list[int]]:
@@ -49,12 +52,12 @@ def stream_runs(points: DataFrame, query: Query, fps: float = 30, late_frames: i
             fids = pdf["fid"].tolist()
             cls = min([int(c) for c in pdf["cls"]] + ([cls] if cls is not None else []))
             spans = _merge(spans, fids)
-        passed = state.getCurrentWatermarkMs() * fps / 1000
+        passed = (state.getCurrentWatermarkMs() - ORIGIN_MS) * fps / 1000
         over = [s for s in spans if s[1] < passed]
         spans = [s for s in spans if s[1] >= passed]
         if spans:
             state.update((cls, json.dumps(spans)))
-            state.setTimeoutTimestamp(max(int(spans[0][1] * 1000 / fps) + 1, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(int(spans[0][1] * 1000 / fps) + 1 + ORIGIN_MS, state.getCurrentWatermarkMs() + 1))
         else:
             state.remove()
         done = [s for s in over if s[1] - s[0] >= query.duration]
