@@ -1,16 +1,18 @@
-"""Benchmark decontamination: BM25 inverted index of the test items, searched with block-max WAND.
+"""Benchmark decontamination: BM25 inverted index of test items, searched with block-max WAND.
 
-The index is over the benchmark, which is small: ITEM_WORDS bounds what may be broadcast, and a
-larger benchmark is dealt into parts of that size, each searched by all passages.  Postings are
-sorted by item and cut into blocks, each with the greatest score its postings can give.
+The index is over the benchmark, which is small: ITEM_WORDS bounds what is broadcast, and a larger
+benchmark is dealt into parts of that size, each searched by all passages.  Items are entered as
+sections of SECTION words at most; a section's threshold is SHARE of its own score.  Sections are
+numbered by their thresholds and cut into blocks, so that those of a block have like thresholds;
+postings keep, for each term and block, the greatest score that a posting there can give.
 
 Every document is cut into passages of PASSAGE words that start every STRIDE words, so a run of
-PASSAGE - STRIDE words lies within one passage; items longer than that are entered as sections of
-SECTION words.  Every passage is a query.  Its words' greatest scores, summed over the passage in one vector step,
-are WAND's first bound: below the least threshold of all items no item can be reached.  The others
-go through the block-max WAND, which returns all items above their thresholds: SHARE of the score
-of the item's own text.  Last, the item's question (first two thirds) and answer (the rest) must
-both be found in the document: word 5-grams of each, VERIFIED of them at least.
+PASSAGE - STRIDE words lies within one of them.  Every passage is a query.  For all passages of a
+chunk at once, the block maxima of each passage's distinct terms are summed, block by block; a block
+whose sum does not reach its least threshold is skipped.  In the others, WAND moves a pivot over the
+block's postings and returns every section above its own threshold.  Last, the item's question (the
+first two thirds) and answer (the rest) must both be found in the document: of the word 5-grams of
+each, VERIFIED at least.
 """
 
 from __future__ import annotations
@@ -29,12 +31,12 @@ from ._session import ship
 
 U = np.uint64
 K1, B = 1.2, 0.75
-BLOCK = 8
+BLOCK, BLOCKS = 4, 64
 PASSAGE, STRIDE, SECTION = 128, 64, 64
-SHARE = 0.5
+SHARE = 0.6
 GRAM = 5
 VERIFIED = 0.6
-ITEM_WORDS = 2_000_000
+ITEM_WORDS = 200_000
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,39 +54,33 @@ class Index:
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = [i for i, w in items if len(w)]
         texts = [w for _, w in items if len(w)]
-        self.questions, self.answers = [], []
-        sections: list[tuple[int, np.ndarray]] = []
-        for n, w in enumerate(texts):
-            q, a = self.split(w)
-            self.questions.append(grams(q))
-            self.answers.append(grams(a))
-            sections += [(n, w[s : s + SECTION]) for s in range(0, len(w), SECTION)]
-        self.owner = [n for n, _ in sections]
+        halves = [self.split(w) for w in texts]
+        self.questions, self.answers = [grams(q) for q, _ in halves], [grams(a) for _, a in halves]
+        sections = [(n, w[s : s + SECTION]) for n, w in enumerate(texts) for s in range(0, len(w), SECTION)]
         count = len(sections)
         mean = sum(len(w) for _, w in sections) / max(1, count)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for s, (_, w) in enumerate(sections):
-            norm = K1 * (1 - B + B * len(w) / mean)
-            for word, tf in Counter(w.tolist()).items():
-                postings.setdefault(word, []).append((s, tf * (K1 + 1) / (tf + norm)))
+        self.words = np.unique(np.concatenate([w for _, w in sections])) if sections else np.zeros(0, U)
+        counted = [Counter(np.searchsorted(self.words, w).tolist()) for _, w in sections]
+        held = Counter(t for c in counted for t in c)
         # a positive form of the inverse document frequency
-        self.words = np.array(sorted(postings), U)
-        self.lists, top = [], []
-        for word in self.words.tolist():
-            found = postings[word]
-            idf = math.log(1 + (count - len(found) + 0.5) / (len(found) + 0.5))
-            ids, scores = [s for s, _ in found], [idf * x for _, x in found]
-            ends = [ids[min(b + BLOCK, len(ids)) - 1] for b in range(0, len(ids), BLOCK)]
-            tops = [max(scores[b : b + BLOCK]) for b in range(0, len(ids), BLOCK)]
-            self.lists.append((ids, scores, ends, tops))
-            top.append(max(scores))
-        self.top = np.array(top)
-        own = [0.0] * count
-        for ids, scores, _, _ in self.lists:
-            for s, x in zip(ids, scores, strict=True):
-                own[s] += x
-        self.threshold = [SHARE * x for x in own]
-        self.least = min(self.threshold, default=math.inf)
+        idf = [math.log(1 + (count - held[t] + 0.5) / (held[t] + 0.5)) for t in range(len(self.words))]
+        scores = []
+        for (_, w), c in zip(sections, counted, strict=True):
+            norm = K1 * (1 - B + B * len(w) / mean)
+            scores.append({t: idf[t] * tf * (K1 + 1) / (tf + norm) for t, tf in c.items()})
+        own = [SHARE * sum(x.values()) for x in scores]
+        order = sorted(range(count), key=lambda s: (own[s], s))
+        self.owner = [sections[s][0] for s in order]
+        self.threshold = [own[s] for s in order]
+        self.size = max(BLOCK, -(-count // BLOCKS))
+        self.least = np.array([self.threshold[s] for s in range(0, count, self.size)])
+        self.best = np.zeros((len(self.words), len(self.least)), np.float32)  # by term and block
+        self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.words]
+        for place, s in enumerate(order):
+            for t, x in scores[s].items():
+                self.postings[t][0].append(place)
+                self.postings[t][1].append(x)
+                self.best[t, place // self.size] = max(self.best[t, place // self.size], np.nextafter(np.float32(x), np.float32(np.inf)))
 
     @staticmethod
     def split(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,17 +97,23 @@ class Index:
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         return np.where(self.words[at] == words, at, -1)
 
-    def search(self, terms: list[int]) -> list[int]:
-        """Sections whose score reaches their threshold, by block-max WAND over distinct terms."""
-        cursors = [[self.lists[t][0][0], 0, t] for t in terms]
+    def search(self, terms: list[int], block: int) -> list[int]:
+        """The block's sections whose score over distinct terms reaches their threshold, by WAND."""
+        least, limit = self.least[block] * (1 - 1e-6), (block + 1) * self.size
+        cursors = []
+        for t in terms:
+            top = float(self.best[t, block])
+            if top:
+                at = bisect.bisect_left(self.postings[t][0], block * self.size)
+                cursors.append([self.postings[t][0][at], at, t, top])
         out = []
         while cursors:
             cursors.sort()
-            # the pivot: the first section that the lists up to it could lift to the least threshold
+            # the pivot: the first section that the terms up to it could lift to the least threshold
             bound, pivot = 0.0, -1
             for i, c in enumerate(cursors):
-                bound += self.top[c[2]]
-                if bound >= self.least:
+                bound += c[3]
+                if bound >= least:
                     pivot = i
                     break
             if pivot < 0:
@@ -119,58 +121,71 @@ class Index:
             section = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == section:
                 pivot += 1
-            ceiling, skip = 0.0, math.inf
-            for c in cursors[: pivot + 1]:
-                ids, _, ends, tops = self.lists[c[2]]
-                block = bisect.bisect_left(ends, section)
-                if block < len(ends):
-                    ceiling += tops[block]
-                    skip = min(skip, ends[block] + 1)
-            if ceiling >= self.least:
-                if cursors[0][0] == section:
-                    total = sum(self.lists[c[2]][1][c[1]] for c in cursors[: pivot + 1])
-                    if total >= self.threshold[section] * (1 - 1e-9):
-                        out.append(section)
-                    to = section + 1
-                else:
-                    to = section
+            if cursors[0][0] == section:
+                if sum(self.postings[c[2]][1][c[1]] for c in cursors[: pivot + 1]) >= self.threshold[section] * (1 - 1e-6):
+                    out.append(section)
+                to = section + 1
             else:
-                if pivot + 1 < len(cursors):
-                    skip = min(skip, cursors[pivot + 1][0])
-                to = max(skip, section + 1)
-            alive = []
-            for i, c in enumerate(cursors):
-                if i <= pivot and c[0] < to:
-                    ids = self.lists[c[2]][0]
-                    at = bisect.bisect_left(ids, to, c[1]) if to != math.inf else len(ids)
-                    if at == len(ids):
-                        continue
-                    c = [ids[at], at, c[2]]
-                alive.append(c)
+                to = section
+            alive = cursors[pivot + 1 :]
+            for c in cursors[: pivot + 1]:
+                ids = self.postings[c[2]][0]
+                at = bisect.bisect_left(ids, to, c[1])
+                if at < len(ids) and ids[at] < limit:
+                    alive.append([ids[at], at, c[2], c[3]])
             cursors = alive
         return out
 
-    def contaminants(self, words: np.ndarray) -> list[tuple[int, float, float]]:
-        """(item, question share, answer share) of the items found in one document's words."""
-        terms = self.lookup(words)
-        n = len(terms)
-        starts = np.arange(0, max(1, n - PASSAGE + STRIDE), STRIDE)
-        value = np.where(terms >= 0, self.top[np.maximum(terms, 0)] if len(self.top) else 0.0, 0.0)
-        total = np.r_[0.0, np.cumsum(value)]
-        bound = total[np.minimum(starts + PASSAGE, n)] - total[starts]
-        found = set()
-        for s in starts[bound >= self.least * (1 - 1e-9)].tolist():
-            part = np.unique(terms[s : s + PASSAGE])
-            part = part[part >= 0]
-            if self.top[part].sum() >= self.least * (1 - 1e-9):
-                found.update(self.owner[x] for x in self.search(part.tolist()))
+    def passages(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, passage, term): the distinct known terms of each passage of some documents."""
+        term = self.lookup(words)
+        at = np.flatnonzero(term >= 0)
+        doc = np.searchsorted(offsets, at, "right") - 1
+        term, at = term[at], at - offsets[doc]
+        length = np.diff(offsets)[doc]
+        pair = doc * len(self.words) + term
+        order = np.argsort(pair, kind="stable")
+        fresh = kn.new_groups(pair[order])
+        before = np.full(len(at), -1, np.int64)
+        before[order[1:][~fresh[1:]]] = at[order[:-1][~fresh[1:]]]
+        last = np.maximum(0, -(-(length - PASSAGE) // STRIDE))  # a document's last passage holds its end
+        found = []
+        for back in range(PASSAGE // STRIDE):
+            passage = at // STRIDE - back
+            # a term counts where it comes first in a passage
+            ok = (passage >= 0) & (passage <= last) & (before < passage * STRIDE)
+            found.append((doc[ok], passage[ok], term[ok]))
+        doc, passage, term = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort((doc << 32) + passage, kind="stable")
+        return doc[order], passage[order], term[order]
+
+    def candidates(self, words: np.ndarray, offsets: np.ndarray) -> dict[int, set[int]]:
+        """The items that passages of each document score above their thresholds."""
+        out: dict[int, set[int]] = {}
+        if not len(self.words):
+            return out
+        doc, passage, term = self.passages(words, offsets)
+        least = (self.least * (1 - 1e-3)).astype(np.float32)  # sums of float32 may fall a little short
+        begins = np.flatnonzero(kn.new_groups(doc, passage))
+        ends = np.r_[begins[1:], len(doc)]
+        for a in range(0, len(begins), 4096):
+            part = begins[a : a + 4096]
+            stop = ends[min(a + 4096, len(begins)) - 1]
+            bounds = np.add.reduceat(self.best[term[part[0] : stop]], part - part[0], axis=0)
+            for i, block in zip(*np.nonzero(bounds >= least), strict=True):
+                b, e = begins[a + i], ends[a + i]
+                if sections := self.search(term[b:e].tolist(), int(block)):
+                    out.setdefault(int(doc[b]), set()).update(self.owner[s] for s in sections)
+        return out
+
+    def verified(self, items: set[int], words: np.ndarray) -> list[tuple[int, float, float]]:
+        """(item, question share, answer share) of the items whose question and answer a document holds."""
+        have = grams(words)
         out = []
-        if found:
-            have = grams(words)
-            for i in sorted(found):
-                q, a = (float(np.isin(g, have).mean()) for g in (self.questions[i], self.answers[i]))
-                if q >= VERIFIED and a >= VERIFIED:
-                    out.append((self.items[i], q, a))
+        for i in sorted(items):
+            q, a = (float(np.isin(g, have).mean()) for g in (self.questions[i], self.answers[i]))
+            if q >= VERIFIED and a >= VERIFIED:
+                out.append((self.items[i], q, a))
         return out
 
 
@@ -198,8 +213,8 @@ def _find(batch, index: Index):
     data, offsets = kn.flat_text(batch.column("text"))
     for a, b in kn.chunks(offsets):
         words, woff = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        for i in range(b - a):
-            if woff[i + 1] > woff[i] and (found := index.contaminants(words[woff[i] : woff[i + 1]])):
+        for i, items in sorted(index.candidates(words, woff).items()):
+            if found := index.verified(items, words[woff[i] : woff[i + 1]]):
                 yield a + i, found
 
 
