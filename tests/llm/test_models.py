@@ -1,0 +1,386 @@
+import glob
+import math
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from flockline.llm import decontam, mixing, pii, secret_scan, toxicity
+from flockline.llm import queries as registered
+from flockline.llm.ann import nearest, quantise, tile
+from flockline.llm.components import components
+from flockline.llm.token_rollup import WORDS, RollupStore, deletes, inserts, revisions, token_counts
+
+# ---------------------------------------------------------------- components
+
+
+def test_components(spark):
+    rng = random.Random(0)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(200 + i, 201 + i) for i in range(30)] + [(5, 5), (None, 3), (7, None)]
+    label = list(range(300))
+    for a, b in edges:
+        if a is not None and b is not None:
+            label = [min(label[a], label[b]) if v in (label[a], label[b]) else v for v in label]
+    got = {r.a: r.b for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: v for i, v in enumerate(label) if v != i}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+
+def vectors(rng, n, dim):
+    v = rng.normal(size=(n, dim))
+    v[5] = v[6]  # ties
+    return v
+
+
+def test_nearest_equals_brute_force(spark):
+    rng = np.random.default_rng(0)
+    v = vectors(rng, 300, 16).astype(np.float32)
+    rows = [(i, v[i].tolist()) for i in range(300)]
+    rows += [(900, None), (901, [0.0] * 16), (902, [math.nan] * 16), (903, [math.inf] + [1.0] * 15), (904, [None] + [1.0] * 15), (905, [1.0] * 3), (906, []), (None, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<float>").withColumn("x", F.lit(1)).withColumn("y", F.lit(2))
+    got = nearest(df, df.where("vec_id % 20 = 0 or vec_id > 899 or vec_id is null"), 10).collect()
+    want = []
+    w = v.astype(np.float64)
+    for q in range(0, 300, 20):
+        d = np.sqrt(((w[q] - w) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((np.arange(300), d)) if i != q][:10]
+        want += [(q, k + 1, i, d[i]) for k, i in enumerate(order)]
+    assert [(r.query_id, r.rank, r.vec_id) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == [w[:3] for w in want]
+    assert max(abs(r.score - w[3]) for r, w in zip(sorted(got, key=lambda r: (r.query_id, r["rank"])), want, strict=True)) < 1e-12
+
+
+def test_nearest_in_many_tiles(spark, monkeypatch):
+    from flockline.llm import ann
+
+    rng = np.random.default_rng(1)
+    rows = [(i, x.tolist()) for i, x in enumerate(vectors(rng, 120, 5))]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    one = sorted(map(tuple, nearest(df, df, 3).collect()))
+    monkeypatch.setattr(ann, "CANDIDATES", 13)
+    monkeypatch.setattr(ann, "QUERIES", 17)
+    assert sorted(map(tuple, nearest(df, df, 3).collect())) == one and len(one) == 360
+    few = df.where("vec_id < 3")
+    assert len(nearest(few, few, 10).collect()) == 6
+    assert nearest(df.where("false"), df, 3).collect() == []
+
+
+def test_quantisation_bounds_hold():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 32)) * rng.choice([1e-3, 1, 1e3], (200, 1))
+    q, s, lost = quantise(x)
+    assert (np.linalg.norm(x - q * s[:, None], axis=1) <= lost).all()
+    ids = np.arange(200)
+    for a, b, c in tile(ids, x, ids[:20], x[:20], 5):
+        assert len(a) == len(b) == len(c)
+
+
+# ---------------------------------------------------------------- mixing
+
+
+def test_water_filling(spark):
+    def run(sizes):
+        rows = [(k, v) for k, v in sizes.items()]
+        return {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+
+    got = run({"a": 10, "b": 1000, "c": 1000, "d": 5, None: 0})
+    assert got["a"] == 30 and got["d"] == 15 and got[None] == 0
+    assert abs(sum(got.values()) - 2015) < 1e-6
+    assert abs(got["b"] / got["c"] - 2) < 1e-9  # weights 2 and 1
+    assert run({"a": 7}) == {"a": 7.0}
+    assert run({}) == {}
+
+
+def test_mix(spark, docs_of):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 50)) if i % 17 else None, rng.choice(["a", "b", "b", "b", "c", None, "é"])) for i in range(400)]
+    rows += [(None, "x y", "a"), (7, "q", "b"), (7, "q", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("bucket", F.lit("z")).withColumn("k", F.lit(1))
+    got = mixing.mix(df).collect()
+    again = mixing.mix(df.repartition(7)).collect()
+    plain = lambda rs: sorted((str(r.doc_id), str(r.source), r["size"], r.taken) for r in rs)
+    assert plain(got) == plain(again) and len(got) == len(rows)
+    assert all(0 <= r.taken <= 3 * r["size"] for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.source, []).append(r)
+    for rs in by.values():
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= 0.5 + 1e-9
+        assert sum(r["size"] for r in rs) == rs[0].source_size
+    assert mixing.mix(df.where("false")).collect() == []
+
+
+# ---------------------------------------------------------------- toxicity
+
+
+def toxic_rows(n, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(n):
+        t = [rng.choice(words) for _ in range(rng.randint(5, 80))]
+        bad = rng.random() < 0.2
+        if bad:
+            t.insert(rng.randrange(len(t)), rng.choice(["Idiot", "scum,", "MORON!"]))
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(bad)))
+    return rows, labels
+
+
+def test_toxicity_held_out_accuracy(spark, docs_of):
+    rows, labels = toxic_rows(1500, 1)
+    extra = [(9001, None), (9002, ""), (None, "idiot"), (9003, "word " * 5000 + "idiot moron scum"), (3, rows[3][1])]
+    docs = docs_of(rows + extra)
+    lab = spark.createDataFrame([*labels, (0, None), (None, 1)], "doc_id long, toxic int").withColumn("quality", F.lit(0))
+    got = toxicity.toxicity(docs, lab).collect()
+    assert len(got) == len(rows) + len(extra)
+    truth = dict(labels)
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert {r.doc_id for r in held} == {i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
+    by = {r.doc_id: r for r in got}
+    assert by[9001].score == by[9002].score < 0.3 and by[9003].predicted == 1
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    kept = toxicity.clean_documents(docs, lab)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.predicted}
+
+
+def test_toxicity_without_labels_or_rows(spark, docs_of):
+    docs, none = docs_of([(1, "a"), (2, None)]), spark.createDataFrame([], "doc_id long, toxic int")
+    assert [r.score for r in toxicity.toxicity(docs, none).collect()] == [0.0, 0.0]
+    assert toxicity.toxicity(docs.where("false"), none).collect() == []
+
+
+# ---------------------------------------------------------------- PII
+
+
+def one(spark, column, value):
+    return spark.createDataFrame([(value,)], "v string").select(column(F.col("v"))).first()[0]
+
+
+def test_feistel_is_a_permutation(spark):
+    all_ = spark.range(0, 17 * 30).select(pii.feistel_range(F.col("id"), 17, 30, "k").alias("p"))
+    assert sorted(r.p for r in all_.collect()) == list(range(17 * 30))
+    chars = spark.range(0, 1000).select(F.array_join(pii.feistel_chars(F.split(F.lpad(F.col("id").cast("string"), 3, "0"), ""), "k"), "").alias("p"))
+    assert sorted(r.p for r in chars.collect()) == [f"{i:03d}" for i in range(1000)]
+
+
+CASES = {
+    "card": ("4539 1488 0343 6467", r"\d{4} \d{4} \d{4} \d{4}"),
+    "phone": ("+1 (979) 555-6697", r"\+1 \(\d{3}\) \d{3}-\d{4}"),
+    "ip": ("58.19.48.103", r"\d{1,3}(\.\d{1,3}){3}"),
+    "ssn": ("123-45-6789", r"\d{3}-\d{2}-\d{4}"),
+    "iso": ("2021-02-28", r"\d{4}-\d{2}-\d{2}"),
+    "us": ("02/28/2021", r"\d{2}/\d{2}/\d{4}"),
+    "eu": ("28.02.2021", r"\d{2}\.\d{2}\.\d{4}"),
+    "email": ("jane.doe42@mail7.example.com", r"[a-z]{4}\.[a-z]{3}\d{2}@mail7\.example\.com"),
+    "iban": ("DE89 3704 0044 0532 0130 00", r"DE\d{2}( [A-Z0-9]{4}){4} [A-Z0-9]{2}"),
+}
+INVALID = ["4539 1488 0343 6468", "999.1.1.1", "666-45-6789", "123-00-6789", "2021-02-30", "13/45/2021", "DE88 3704 0044 0532 0130 00", "1234567", "12345678901234567890123"]
+
+
+def luhn(s):
+    d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def test_pseudonyms_keep_formats_and_links(spark, docs_of):
+    rows = [(i, f"Text {v}, and again {v}.\nEnd") for i, (v, _) in enumerate(CASES.values())]
+    rows += [(100 + i, f"no {v} here") for i, v in enumerate(INVALID)] + [(200, None), (201, ""), (202, "x" * 5000 + " 58.19.48.103")]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs_of(rows)).collect()}
+    for i, (name, (value, form)) in enumerate(CASES.items()):
+        m = re.fullmatch(rf"Text ({form}), and again ({form})\.\nEnd", got[i].text)
+        assert m, (name, got[i].text)
+        found = [g for g in m.groups() if g and re.fullmatch(form, g)]
+        assert found[0] == found[-1] != value and got[i].n_replaced == 2
+        if name == "card":
+            assert luhn(found[0])
+        if name == "iban":
+            flat = found[0].replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+        if name == "ip":
+            assert all(int(o) < 256 for o in found[0].split("."))
+    for i, v in enumerate(INVALID):
+        assert got[100 + i].text == f"no {v} here" and got[100 + i].n_replaced == 0
+    assert got[200].text is None and got[200].n_found == 0 and got[201].text == ""
+    assert got[202].text.endswith(got[list(CASES).index("ip")].text.split()[1].rstrip(","))
+    assert {r.key for r in got.values()} == {"k"}
+    other = pii.pseudonymise(docs_of(rows[:1]), "another key").first()
+    assert other.text != got[0].text
+
+
+def test_pseudonyms_differ_for_different_values(spark):
+    df = spark.range(0, 2000).select(F.concat(F.lit("10.0."), (F.col("id") / 256).cast("int").cast("string"), F.lit("."), (F.col("id") % 256).cast("string")).alias("text"))
+    assert pii.pseudonymise(df).select("text").distinct().count() == 2000
+
+
+# ---------------------------------------------------------------- secrets
+
+
+def test_secrets(spark, docs_of):
+    rng = random.Random(5)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    good = [f'token = "{hexa(40)}" x' for _ in range(40)] + [f"and password={hexa(18)} of" for _ in range(40)] + [f"ha AKIA{''.join(rng.choice('ABCDEFGH234567') for _ in range(16))} t" for _ in range(20)]
+    bad = [f"commit {hexa(40)} fixed" for _ in range(40)] + [f"nr 4{rng.randrange(10**15):015d} of" for _ in range(40)] + [f"see /src/main/handler/page{i}/value.py" for i in range(20)]
+    rows = list(enumerate(good + bad)) + [(1000, None), (1001, ""), (1002, "plain words only"), (None, good[0]), (1003, "w " * 20000 + good[1])]
+    got = secret_scan.scan(docs_of(rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    caught = sum(any(r.is_secret for r in by.get(i, [])) for i in range(100))
+    wrong = sum(any(r.is_secret for r in by.get(i, [])) for i in range(100, 200))
+    assert caught >= 97 and wrong <= 3
+    assert 1000 not in by and 1001 not in by and 1002 not in by and by[None][0].is_secret
+    r = by[0][0]
+    assert rows[0][1][r.place :][: r.n_chars] == rows[0][1].split('"')[1] and by[1003][0].place == 40000 + len('token = "')
+    assert secret_scan.scan(docs_of(rows).where("false")).collect() == []
+
+
+# ---------------------------------------------------------------- decontamination
+
+
+def bench_rows(seed):
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(20)]
+    words = [f"w{i}" for i in range(2000)]
+    text = lambda n: " ".join(rng.choice(common if rng.random() < 0.5 else words) for _ in range(n))
+    items = [(i, text(rng.choice([6, 12, 30, 60, 150]))) for i in range(40)]
+    docs = [(i, text(rng.randint(0, 300))) for i in range(150)]
+    held = set()
+    for i in range(150, 220):
+        item, t = rng.choice(items)
+        docs.append((i, f"{text(rng.randint(0, 200))} {t.upper() if i % 3 else t} {text(rng.randint(0, 200))}"))
+        held.add((i, item))
+    for i in range(220, 250):  # question without answer: not contaminated
+        _, t = rng.choice([x for x in items if len(x[1].split()) >= 30])
+        ws = t.split()
+        docs.append((i, f"{text(50)} {' '.join(ws[: len(ws) // 2])} {text(50)}"))
+    return items, docs, held
+
+
+def exhaustive(items, docs):
+    """Every item whose question and answer 5-grams a document holds, without any index."""
+    tok = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+
+    def grams(w):
+        n = min(5, len(w))
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+    out = set()
+    for i, t in docs:
+        have = grams(tok(t))
+        for j, x in items:
+            w = tok(x)
+            if not w:
+                continue
+            at = len(w) if len(w) < 10 else min(max(5, -(-2 * len(w) // 3)), len(w) - 5)
+            halves = (w, w) if len(w) < 10 else (w[:at], w[at:])
+            if all(len(grams(h) & have) >= 0.6 * len(grams(h)) for h in halves):
+                out.add((i, j))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_decontamination_equals_exhaustive_search(spark, docs_of, seed):
+    items, docs, held = bench_rows(seed)
+    odd = [(900, None), (901, ""), (None, items[3][1]), (902, "filler " * 9000 + items[2][1]), (5, items[1][1])]
+    benchmark = spark.createDataFrame([*items, (77, None), (78, " "), (None, "x y z")], "item_id long, text string").withColumn("extra", F.lit(1))
+    df = docs_of(docs + odd)
+    got = {(r.doc_id, r.item_id) for r in decontam.decontaminate(df, benchmark).collect()}
+    assert got == exhaustive(items, docs + odd) and held <= got
+    kept = decontam.uncontaminated(df, benchmark)
+    assert kept.columns == df.columns
+    assert kept.count() == len(docs + odd) - len({(i, t) for i, t in docs + odd if any(g[0] == i for g in exhaustive(items, [(i, t)]))})
+    assert decontam.decontaminate(df, benchmark.where("false")).collect() == []
+    assert decontam.decontaminate(df.where("false"), benchmark).collect() == []
+
+
+def test_wand_equals_full_scores():
+    rng = random.Random(4)
+    items = [(i, np.array([rng.randrange(1, 120) for _ in range(rng.randint(3, 60))], np.uint64)) for i in range(300)]
+    index = decontam.Index(items)
+    for _ in range(60):
+        terms = sorted({int(t) for t in index.lookup(np.array([rng.randrange(1, 150) for _ in range(90)], np.uint64)) if t >= 0})
+        score = np.zeros(len(index.owner))
+        for t in terms:
+            score[index.postings[t][0]] += index.postings[t][1]
+        want = {s for s in range(len(score)) if score[s] >= index.threshold[s] * (1 - 1e-6)}
+        assert {s for b in range(len(index.least)) for s in index.search(terms, b)} == want
+
+
+# ---------------------------------------------------------------- token rollups
+
+
+def test_rollup(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c", "s", "en"), (2, "a", "s", "en"), (3, None, None, "de"), (4, "é x y", "t", None)], "doc_id long, text string, source string, lang string")
+    store = RollupStore(spark, f"file://{tmp_path}/rollup")
+    assert store.totals().collect() == []
+    counts = token_counts(docs, WORDS)
+    rows = lambda: sorted(((str(r.source), str(r.lang), r.n_docs, r.n_tokens, r.n_chars) for r in store.totals().collect()))
+    assert store.commit("one", inserts(counts))
+    first = [("None", "de", 1, 0, 0), ("s", "en", 2, 4, 6), ("t", "None", 1, 2, 5)]
+    assert rows() == first
+    assert not store.commit("one", inserts(counts)) and rows() == first
+    store.commit("two", deletes(counts.where("doc_id = 2")))
+    assert rows()[1] == ("s", "en", 1, 3, 5)
+    store.compact()
+    assert not store.commit("one", inserts(counts)) and not store.commit("two", inserts(counts))
+    store.vacuum()
+    assert rows()[1] == ("s", "en", 1, 3, 5) and store.batches() == ["one", "two"]
+    new = counts.where("doc_id = 1").withColumn("n_tokens", F.lit(10).cast("long"))
+    store.commit("three", revisions(counts.where("doc_id = 1"), new))
+    assert rows()[1] == ("s", "en", 1, 10, 5)
+    store.commit("four", deletes(new))
+    assert [r[0] for r in rows()] == ["None", "t"]
+    store.compact()
+    store.vacuum()
+    assert [r[0] for r in rows()] == ["None", "t"] and not store.commit("four", deletes(new))
+    with pytest.raises(ValueError):
+        store.commit("a/b", inserts(counts))
+
+
+def test_bpe_counts_are_those_of_the_vocabulary(spark):
+    vocabulary = f"{registered.VOCABULARIES}/byte_bpe_50k.tiktoken"
+    if not os.path.exists(vocabulary):
+        pytest.skip("no vocabulary")
+    from flockline.llm.token_rollup import _encoder
+
+    texts = ["Hello world", "", None, "été  là\n\n1234", "x" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).withColumn("lang", F.lit("en"))
+    got = {r.doc_id: r.n_tokens for r in token_counts(docs, "bpe", vocabulary).collect()}
+    encoding = _encoder(vocabulary)
+    assert got == {i: len(encoding.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    assert all(encoding.decode(encoding.encode_ordinary(t)) == t for t in texts if t)
+
+
+# ---------------------------------------------------------------- registered queries
+
+
+@pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
+def test_query_equals_sql(spark, sf_dir, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in glob.glob(f"{sf_dir}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    rel = con.sql(registered.oracle_sql()[name])
+    cols = sorted(rel.columns)
+    want = sorted(str([dict(zip(rel.columns, r, strict=True))[c] for c in cols]) for r in rel.fetchall())
+    got = sorted(str([r[c] for c in cols]) for r in registered.queries()[name](spark, sf_dir).collect())
+    assert got == want
+
+
+def test_rollup_query_equals_direct_count(spark, sf_dir):
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in registered.op2_token_counts(spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    want = {}
+    for r in docs:
+        k = (r.source, r.lang, WORDS)
+        a, b = want.get(k, (0, 0))
+        want[k] = (a + 1, b + len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")))
+    assert {k: v for k, v in got.items() if k[2] == WORDS} == want
