@@ -10,8 +10,8 @@ Jaccard similarity of at least s, sets of sizes up to U differ in at most d = 2U
 shingles, so of more than d groups at least one has equal members in both.  Each document sends a
 hash of each of its groups; those that meet under a hash are joined to the least of them (a star,
 never all pairs; pre-aggregated a batch), and the components of these stars are the blocks.  Equal
-sets are one point.  A block beyond TILE documents is compared in tiles of two halves, each tile in
-a task of its own, so that no group grows without bound.
+sets are one point.  A block beyond TILE documents or TILE_SHINGLES shingles is cut into parts, and each
+pair of parts is compared in a task of its own, so that no group grows without bound.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from .components import components
 U = np.uint64
 GROUPS = 64
 LEAF, FANOUT = 32, 16
-TILE = 2000
+TILE, TILE_SHINGLES = 2000, 1_000_000
 RATIO = 1.4
 
 
@@ -321,9 +321,9 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     blocks = components(meets)
     block = F.coalesce("b", "rep")
     members = sets.join(blocks.withColumnRenamed("a", "rep"), "rep", "left").withColumn("block", block)
-    sized = members.groupBy("block").agg(F.count("*").alias("size")).where("size > 1")
+    sized = members.groupBy("block").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).where("size > 1")
     # a tile compares the two parts of a large block that it is named by; all others are one tile
-    parts = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
+    parts = F.ceil(F.greatest(F.col("size") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int")
     part = F.when(parts > 1, F.pmod(F.xxhash64("rep"), parts)).otherwise(0).cast("int")
     members = members.join(sized, "block").withColumn("parts", parts).withColumn("part", part).select("rep", "s1", "block", "parts", "part")
     texts = docs.where("doc_id is not null").join(members.withColumnRenamed("rep", "doc_id"), "doc_id")

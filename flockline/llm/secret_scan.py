@@ -16,6 +16,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._session import cut
@@ -117,19 +118,21 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, place (characters before it), before, candidate, after: every candidate of docs (doc_id, text)."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    rows = rows.where(F.size("found") > 0).withColumn("pieces", F.split("text", PATTERN, -1)).drop("text")
+    rows = rows.where(F.size("found") > 0).withColumn("pieces", F.split("text", PATTERN, -1)).withColumn("row", F.monotonically_increasing_id())
     # between the candidates lie the pieces: piece 0, candidate 0, piece 1, ...
-    upto = lambda i: F.aggregate(F.slice("pieces", 1, i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("found", 1, i), F.lit(0), lambda s, x: s + F.length(x))
     each = F.transform(
         "found",
         lambda c, i: F.struct(
             F.right(F.get("pieces", i), F.lit(CONTEXT)).alias("before"),
             c.alias("candidate"),
             F.left(F.get("pieces", i + 1), F.lit(CONTEXT)).alias("after"),
-            upto(i).cast("long").alias("place"),
+            F.length(F.get("pieces", i)).cast("long").alias("ahead"),
         ),
     )
-    return rows.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.place", "x.before", "x.candidate", "x.after")
+    flat = rows.select("doc_id", "row", F.posexplode(each).alias("i", "x"))
+    upto = W.partitionBy("row").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    place = F.sum(F.col("x.ahead") + F.length("x.candidate")).over(upto) - F.length("x.candidate")
+    return flat.select("doc_id", place.alias("place"), "x.before", "x.candidate", "x.after")
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
