@@ -59,7 +59,7 @@ def prefix_patterns(runs_: DataFrame, labels: dict[int, int], duration: int, wid
     steps = active.groupBy("end", "low", "b").agg(F.collect_list("oid").alias("some"), *counted)
     whole = W.partitionBy("end")
     upto = whole.orderBy("b").rowsBetween(W.unboundedPreceding, 0)
-    possible = steps.where(F.lit(True)).withColumn("_ok", enough(labels, lambda c: F.sum(f"n_{c}").over(whole))).where("_ok")
+    possible = steps.withColumn("_ok", enough(labels, lambda c: F.sum(f"n_{c}").over(whole))).where("_ok")
     lists = possible.select("end", "low", "b", F.flatten(F.collect_list("some").over(upto)).alias("ids"), enough(labels, lambda c: F.sum(f"n_{c}").over(upto)).alias("ok"))
     found = lists.where("ok and b >= low")
     return found.select(F.array_sort("ids").alias("ids"), F.col("b").alias("start_fid"), (F.col("end") - 1).alias("end_fid"), F.size("ids").alias("n_objects"))
