@@ -5,13 +5,16 @@ each set a point; the overlap of two sets is at most the sum of the coordinate m
 points, and at most the sum of minima with the upper corner of an R-tree node that holds one of
 them.  Surviving pairs are verified on the sets.
 
-The trees are built over blocks of related documents, found without loss by the same idea: with a
-Jaccard similarity of at least s, sets of sizes up to U differ in at most d = 2U(1-s)/(1+s)
-shingles, so of more than d groups at least one has equal members in both.  Each document sends a
-hash of each of its groups; those that meet under a hash are joined to the least of them (a star,
-never all pairs; pre-aggregated a batch), and the components of these stars are the blocks.  Equal
-sets are one point.  A block beyond TILE documents or TILE_SHINGLES shingles is cut into parts, and each
-pair of parts is compared in a task of its own, so that no group grows without bound.
+The trees are built over blocks of related documents, found without loss.  Sets with a Jaccard
+similarity of at least s share one of their rarest shingles: of a set of n, the first
+n - ceil(s n) + 1 in an order that all sets agree on, here by document frequency and then by hash.
+Frequencies are counted over all documents: groups of documents send the hashes they hold to
+buckets, which send back those that several documents have.  A document then sends the frequent ones among its
+rarest shingles, with its band of sizes; those that meet are joined to the least of them (a star, never all
+pairs; pre-aggregated a group), and the components of these stars are the blocks.  Passages that many
+documents share are in no such prefix, so they don't tie blocks together.  Equal sets are one point.  A
+block beyond TILE documents or TILE_SHINGLES shingles is cut into parts, and each pair of parts is
+compared in a task of its own, so that no group grows without bound.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as kn
-from ._repeats import BLOCKS, _blocks, _table, doc_bucket, next_prime
-from ._session import SEGMENT, cut, ship, text_buckets
+from ._repeats import BLOCKS, _table, doc_bucket, next_prime
+from ._session import cut, ship, text_buckets
 from .components import components
 
 U = np.uint64
@@ -90,57 +93,82 @@ def _describe(width: int):
     return run
 
 
-class Scheme:
-    """Size bands and, for each, into how many groups sets are dealt for the block search."""
+def bands(n: int, percent: int) -> list[int]:
+    """The bands of sizes in which a set of n takes part: its own, and those of larger partners."""
+    return list(range(_band(n), _band(n * 100 // percent) + 1))
 
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.upper = [1]
-        while self.upper[-1] < 1 << 40:
-            self.upper.append(int(self.upper[-1] * RATIO) + 1)
-        self.apart = [2 * u * (100 - percent) // (100 + percent) for u in self.upper]
-        self.slack = [1 + d // 16 for d in self.apart]
-        self.groups = [d + 1 + s for d, s in zip(self.apart, self.slack, strict=True)]
 
-    def bands(self, n: int) -> list[int]:
-        """The bands in which a set of n takes part: its own, and those of larger partners.
+_UPPER = [1]
+while _UPPER[-1] < 1 << 40:
+    _UPPER.append(int(_UPPER[-1] * RATIO) + 1)
 
-        Sets that may not differ at all are equal, and equal sets are one point already.
-        """
-        return [j for j in range(bisect_left(self.upper, n), bisect_left(self.upper, n * 100 // self.percent) + 1) if self.apart[j]]
 
+def _band(n: int) -> int:
+    return bisect_left(_UPPER, n)
+
+
+def prefix_length(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many of the first shingles of a set hold one of every set that is like it."""
+    return sizes - (-(-sizes * percent // 100)) + 1
+
+
+def _code(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket, and 40 bits that tell shingles of a bucket apart; what they confuse counts as one for all."""
+    return (values % U(n)).astype(np.int64), (values // U(n)) & U((1 << 40) - 1)
+
+
+def _send_shingles(width: int, n: int):
+    def run(table):
+        db = table.column("db")[0].as_py()
+        parts = [values for _, _, values, _ in _text_chunks(table, width)]
+        values, count = np.unique(np.concatenate(parts), return_counts=True)
+        bucket, code = _code(values, n)
+        keys, blocks = [], []
+        for to, (c, k) in kn.split_rows(bucket, code, count):
+            keys.append(to)
+            blocks.append(kn.pack(np.array([db]), c.astype(np.uint32), (c >> U(32)).astype(np.uint8), np.minimum(k, 255).astype(np.uint8)))
+        return _table(keys, blocks)
+
+    return run
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """For each group that sent a shingle: those that several documents have, with frequencies up to 255."""
+    bucket = table.column("key")[0].as_py()
+    parts = [kn.unpack(v.as_py(), np.int64, np.uint32, np.uint8, np.uint8) for v in table.column("block")]
+    source = np.concatenate([np.full(len(p[1]), i, np.int32) for i, p in enumerate(parts)])
+    code = np.concatenate([p[1] for p in parts]).astype(U) | (np.concatenate([p[2] for p in parts]).astype(U) << U(32))
+    count = np.concatenate([p[3] for p in parts]).astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    first = kn.new_groups(code[order])
+    group = np.empty(len(code), np.int64)
+    group[order] = np.cumsum(first) - 1
+    total = np.minimum(np.bincount(group, count, minlength=1).astype(np.int64), 255)[group]
+    several = total > 1
+    keys, blocks = [], []
+    for i, (c, k) in kn.split_rows(source[several], code[several], total[several]):
+        keys.append(int(parts[i][0][0]))
+        blocks.append(kn.pack(np.array([bucket]), c.astype(np.uint32), (c >> U(32)).astype(np.uint8), k.astype(np.uint8)))
+    return _table(keys, blocks)
 
-def _group_keys(values: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of each set's groups."""
-    sizes = np.diff(offsets)
-    rows, bands = [], []
-    known: dict[int, list[int]] = {}
-    for i, n in enumerate(sizes.tolist()):
-        if n:
-            js = known.get(n)
-            if js is None:
-                js = known[n] = scheme.bands(n)
-            rows += [i] * len(js)
-            bands += js
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    row, band = np.array(rows), np.array(bands)
-    count = np.array(scheme.groups)[band]
-    base = np.r_[0, np.cumsum(count)]
-    at = kn.ranges(offsets[row], sizes[row])
-    task = np.repeat(np.arange(len(row)), sizes[row])
-    v = values[at]
-    cell = base[task] + ((v >> U(20)) % count[task].astype(U)).astype(np.int64)
-    mixed = kn.mix64(v)
-    filled = np.bincount(cell, minlength=base[-1])
-    low = np.bincount(cell, (mixed & U(0xFFFFFFFF)).astype(np.float64), base[-1]).astype(U)
-    high = np.bincount(cell, (mixed >> U(32)).astype(np.float64), base[-1]).astype(U)
-    owner = np.repeat(np.arange(len(row)), count)
-    group = np.arange(base[-1]) - base[owner]
-    key = kn.mix64(low + (high << U(32)) + kn.mix64(band[owner].astype(U) * U(1 << 32) + group.astype(U)))
-    bare = np.bincount(owner, filled == 0, minlength=len(row)) > np.array(scheme.slack)[band]
-    sent = (filled > 0) | bare[owner]
-    return row[owner[sent]], key[sent]
+
+def _frequencies(found: pa.Table, n: int):
+    """A function from shingles to their frequencies, 1 where none was sent back."""
+    parts = [kn.unpack(v.as_py(), np.int64, np.uint32, np.uint8, np.uint8) for v in found.column("block")] if found.num_rows else []
+    if not parts:
+        return lambda values: np.ones(len(values), np.int64)
+    join = lambda bucket, code: kn.mix64(bucket.astype(U) * U(0x9E3779B97F4A7C15) + code)
+    known = np.concatenate([join(np.full(len(p[1]), p[0][0]), p[1].astype(U) | (p[2].astype(U) << U(32))) for p in parts])
+    count = np.concatenate([p[3] for p in parts])
+    order = np.argsort(known)
+    known, count = known[order], count[order]
+
+    def look_up(values):
+        key = join(*_code(values, n))
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        return np.where(known[at] == key, count[at], 1).astype(np.int64)
+
+    return look_up
 
 
 def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,13 +189,32 @@ def _edge_blocks(pairs: np.ndarray, n: int) -> tuple[list[int], list[bytes]]:
     return keys, blocks
 
 
-def _send_groups(width: int, percent: int, n: int):
-    scheme = Scheme(percent)
-
-    def segment(doc, table):
-        docs, keys = [], []
+def _prefix_keys(values: np.ndarray, offsets: np.ndarray, frequency: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the shingles of each set's prefix that other documents have, once a band."""
+    sizes = np.diff(offsets)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((values, frequency, row))  # within a set: rarest first
+    rank = np.arange(len(values)) - offsets[row]
+    kept = order[(rank < prefix_length(sizes, percent)[row]) & (frequency[order] > 1)]
+    row, value = row[kept], values[kept]
+    low = np.array([_band(int(n)) for n in sizes], np.int64)
+    high = np.array([_band(int(n) * 100 // percent) for n in sizes], np.int64)
+    each = (high - low + 1)[row]
+    band = kn.ranges(low[row], each)
+    row, value = np.repeat(row, each), np.repeat(value, each)
+    return row, kn.mix64(value + kn.mix64(band.astype(U) + U(1)))
+
+
+def _send_prefixes(width: int, percent: int, n: int):
+    def run(table, found):
+        if not table.num_rows:
+            return _table([], [])
+        table = table.filter(table.column("doc_id").is_valid())
+        doc = np.asarray(table.column("doc_id")).astype(np.int64)
+        frequency = _frequencies(found, n)
+        docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, U)]
         for a, _, values, offsets in _text_chunks(table, width):
-            row, key = _group_keys(values, offsets, scheme)
+            row, key = _prefix_keys(values, offsets, frequency(values), percent)
             docs.append(doc[row + a])
             keys.append(key)
         d, k = np.concatenate(docs), np.concatenate(keys)
@@ -180,19 +227,7 @@ def _send_groups(width: int, percent: int, n: int):
             cuts = np.flatnonzero(kn.new_groups(x))
             out_keys.append(to)
             blocks.append(kn.pack(x[cuts], np.diff(np.r_[cuts, len(x)]).astype(np.uint32), y))
-            if len(blocks) >= 4096:
-                yield _blocks(out_keys, blocks)
-                out_keys, blocks = [], []
-        if blocks:
-            yield _blocks(out_keys, blocks)
-
-    def run(batches):
-        for batch in batches:
-            batch = batch.filter(batch.column("doc_id").is_valid())
-            doc = np.asarray(batch.column("doc_id")).astype(np.int64)
-            _, offsets = kn.flat_text(batch.column("text"))
-            for a, b in kn.chunks(offsets, SEGMENT):
-                yield from segment(doc[a:b], batch.slice(a, b - a))
+        return _table(out_keys, blocks)
 
     return run
 
@@ -277,20 +312,45 @@ def link(values: np.ndarray, offsets: np.ndarray, percent: int, side: np.ndarray
     return label
 
 
+TILE_ROWS = "block long, x int, y int, side int, doc_id long, text string"
+
+
+def _deal(width: int):
+    """Members of blocks with their texts, a row for each tile that compares them."""
+
+    def run(table, members):
+        out = []
+        if table.num_rows and members.num_rows:
+            known = {r["rep"]: r for r in members.to_pylist()}
+            ids = table.column("doc_id").to_pylist()
+            rows = [i for i, d in enumerate(ids) if d in known]
+            some = table.take(pa.array(rows, pa.int64()))
+            sign = np.concatenate([np.zeros(0, np.int64), *(_signatures(values, offsets)[0] for _, _, values, offsets in _text_chunks(some, width))]) if rows else []
+            texts = some.column("text")
+            sent = set()
+            for j, i in enumerate(rows):
+                m = known[ids[i]]
+                if m["s1"] != sign[j] or ids[i] in sent:  # another text under the same id, or a repeat of the row
+                    continue
+                sent.add(ids[i])
+                for other in range(m["parts"]):
+                    x, y = min(m["part"], other), max(m["part"], other)
+                    out.append((m["block"], x, y, -1 if x == y else int(m["part"] > other), ids[i], texts[j].as_py()))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+        cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["block", "x", "y", "side", "doc_id", "text"])
+
+    return run
+
+
 def _compare(width: int, percent: int):
     def run(table):
-        parts, lens = [], []
-        keep = np.zeros(table.num_rows, bool)
-        s1 = np.asarray(table.column("s1"))
-        for a, b, values, offsets in _text_chunks(table, width):
-            same = _signatures(values, offsets)[0] == s1[a:b]
-            keep[a:b] = same
-            lens.append(np.diff(offsets)[same])
-            parts.append(values[np.repeat(same, np.diff(offsets))])
-        doc = np.asarray(table.column("doc_id"))[keep]
-        side = np.asarray(table.column("side"))[keep]
-        values, offsets = np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(lens))]
-        label = link(values, offsets, percent, side if (side >= 0).any() else None)
+        parts, lens = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for _, _, values, offsets in _text_chunks(table, width):
+            lens.append(np.diff(offsets))
+            parts.append(values)
+        doc, side = np.asarray(table.column("doc_id")), np.asarray(table.column("side"))
+        label = link(np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(lens))], percent, side if (side >= 0).any() else None)
         least = np.full(len(doc), np.iinfo(np.int64).max)
         np.minimum.at(least, label, doc)
         b = least[label]
@@ -317,21 +377,19 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     n = next_prime(text_buckets(docs))
     info = cut(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, s1 long, s2 long"))
     sets = info.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    meets = docs.mapInArrow(_send_groups(width, percent, n), BLOCKS).groupBy("key").applyInArrow(_meet, "a long, b long")
-    blocks = components(meets)
-    block = F.coalesce("b", "rep")
-    members = sets.join(blocks.withColumnRenamed("a", "rep"), "rep", "left").withColumn("block", block)
+    bucket = F.coalesce(F.pmod("doc_id", F.lit(n)), F.lit(0)).cast("long")
+    dealt = docs.withColumn("db", bucket).groupBy("db")  # one exchange of the texts for all steps
+    counted = dealt.applyInArrow(_send_shingles(width, n), BLOCKS).groupBy("key").applyInArrow(_count, BLOCKS)
+    sent = dealt.cogroup(counted.withColumnRenamed("key", "db").groupBy("db")).applyInArrow(_send_prefixes(width, percent, n), BLOCKS)
+    blocks = components(sent.groupBy("key").applyInArrow(_meet, "a long, b long"))
+    members = sets.join(blocks.withColumnRenamed("a", "rep"), "rep", "left").withColumn("block", F.coalesce("b", "rep"))
     sized = members.groupBy("block").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).where("size > 1")
     # a tile compares the two parts of a large block that it is named by; all others are one tile
     parts = F.ceil(F.greatest(F.col("size") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int")
-    part = F.when(parts > 1, F.pmod(F.xxhash64("rep"), parts)).otherwise(0).cast("int")
-    members = members.join(sized, "block").withColumn("parts", parts).withColumn("part", part).select("rep", "s1", "block", "parts", "part")
-    texts = docs.where("doc_id is not null").join(members.withColumnRenamed("rep", "doc_id"), "doc_id")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    tiles = texts.withColumn("other", other).select(
-        "doc_id", "text", "s1", "block", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"),
-        F.when(F.col("part") == F.col("other"), -1).otherwise(F.when(F.col("part") < F.col("other"), 0).otherwise(1)).alias("side"),
-    )
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(0).cast("int")
+    members = members.join(sized, "block").withColumn("parts", parts).withColumn("part", part)
+    members = members.select(F.pmod("rep", F.lit(n)).alias("db"), "rep", "s1", "block", "parts", "part")
+    tiles = dealt.cogroup(members.groupBy("db")).applyInArrow(_deal(width), TILE_ROWS)
     links = tiles.groupBy("block", "x", "y").applyInArrow(_compare(width, percent), "a long, b long")
     classes = components(links).select(F.col("a").alias("rep"), F.col("b").alias("least"))
     named = sets.join(classes, "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("least", "rep").alias("component_id"))

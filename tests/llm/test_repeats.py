@@ -7,7 +7,7 @@ from flockline.llm import _kernels as kn
 from flockline.llm import _repeats as rp
 from flockline.llm import phrase_dedup as ph
 from flockline.llm import suffix_dedup as sd
-from flockline.llm.jaccard_join import Scheme, jaccard_join, link
+from flockline.llm.jaccard_join import bands, jaccard_join, link, prefix_length
 from flockline.llm.phrase_dedup import phrase_dedup
 from flockline.llm.suffix_dedup import SuffixSort, suffix_dedup
 from tests.llm import brute
@@ -133,15 +133,16 @@ def test_jaccard_empty_table(docs_of):
     assert jaccard_join(docs_of([(1, "a")]).where("false")).collect() == []
 
 
-def test_scheme_loses_no_pair():
-    """At the greatest difference that still links, a group at least is equal and not empty, or both send empty ones."""
-    for percent in (80, 90):
-        s = Scheme(percent)
+def test_prefixes_and_bands_lose_no_pair():
+    """The least overlap that still links leaves fewer shingles outside than a prefix has."""
+    for percent in (50, 80, 90):
         for n in (1, 5, 10, 19, 100, 1000):
-            for m in range(-(-n * percent // 100), n + 1):
-                if 100 * m >= percent * n and m < n:
-                    both = set(s.bands(n)) & set(s.bands(m))
-                    assert both and max(s.apart[j] for j in both) >= n - m
+            for m in range(1, n + 1):
+                if 100 * m >= percent * n:
+                    least = -(-percent * (n + m) // (100 + percent))
+                    p, q = prefix_length(np.array([n, m]), percent)
+                    assert p > n - least and q > m - least
+                    assert set(bands(n, percent)) & set(bands(m, percent))
 
 
 def test_link_by_tree_equals_all_pairs():
