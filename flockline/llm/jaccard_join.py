@@ -36,6 +36,7 @@ GROUPS = 64
 LEAF, FANOUT = 32, 16
 TILE, TILE_SHINGLES = 2000, 1_000_000
 RATIO = 1.4
+MEET = 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,9 +182,26 @@ def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order, first, pairs
 
 
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """The same connections with one edge a document, to the least document that pairs connect it to."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for x, y in zip(pairs[0].tolist(), pairs[1].tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    edges = [(x, r) for x in parent if (r := top(x)) != x]
+    return np.array(edges, np.int64).reshape(-1, 2).T
+
+
 def _edge_blocks(pairs: np.ndarray, n: int) -> tuple[list[int], list[bytes]]:
     keys, blocks = [], []
-    for key, (a, b) in kn.split_rows(doc_bucket(pairs[0], n), pairs[0], pairs[1]):
+    for key, (a, b) in kn.split_rows(doc_bucket(pairs[0], max(1, n // MEET)), pairs[0], pairs[1]):
         keys.append(-key - 1)
         blocks.append(kn.pack(a, b))
     return keys, blocks
@@ -219,11 +237,12 @@ def _send_prefixes(width: int, percent: int, n: int):
             keys.append(key)
         d, k = np.concatenate(docs), np.concatenate(keys)
         order, first, pairs = _stars(k, d)
-        out_keys, blocks = _edge_blocks(pairs, n)
+        out_keys, blocks = _edge_blocks(_forest(pairs), n)
         d, k = d[order][first], k[order][first]
         by = np.argsort(d, kind="stable")
         d, k = d[by], k[by]
-        for to, (x, y) in kn.split_rows((k % U(n)).astype(np.int64), d, k):
+        # prefixes are a small part of the texts: in fewer buckets, fewer edges repeat
+        for to, (x, y) in kn.split_rows((k % U(max(1, n // MEET))).astype(np.int64), d, k):
             cuts = np.flatnonzero(kn.new_groups(x))
             out_keys.append(to)
             blocks.append(kn.pack(x[cuts], np.diff(np.r_[cuts, len(x)]).astype(np.uint32), y))
@@ -235,11 +254,11 @@ def _send_prefixes(width: int, percent: int, n: int):
 def _meet(table: pa.Table) -> pa.Table:
     if table.column("key")[0].as_py() < 0:
         a, b = kn.unpack_all(table.column("block"), np.int64, np.int64)
-        pairs = np.unique(np.stack([a, b]), axis=1)
+        pairs = _forest(np.stack([a, b]))
     else:
         parts = [kn.unpack(v.as_py(), np.int64, np.uint32, np.uint64) for v in table.column("block")]
         doc = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        pairs = _stars(np.concatenate([p[2] for p in parts]), doc)[2]
+        pairs = _forest(_stars(np.concatenate([p[2] for p in parts]), doc)[2])
     return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
