@@ -1,18 +1,20 @@
 """Benchmark decontamination: BM25 inverted index of test items, searched with block-max WAND.
 
+An item's question (the first two thirds) and answer (the rest) must both be found in the document:
+of the distinct word 5-grams of each, VERIFIED at least, anywhere in it.
+
 The index is over the benchmark, which is small: ITEM_WORDS bounds what is broadcast, and a larger
-benchmark is dealt into parts of that size, each searched by all passages.  Items are entered as
-sections of SECTION words at most; a section's threshold is SHARE of its own score.  Sections are
-numbered by their thresholds and cut into blocks, so that those of a block have like thresholds;
-postings keep, for each term and block, the greatest score that a posting there can give.
-
-Every document is cut into passages of PASSAGE words that start every STRIDE words, so a run of
-PASSAGE - STRIDE words lies within one of them.  Every passage is a query.  For all passages of a
-chunk at once, the block maxima of each passage's distinct terms are summed, block by block; a block
-whose sum does not reach its least threshold is skipped.  In the others, WAND moves a pivot over the
-block's postings and returns every section above its own threshold.  Last, the item's question (the
-first two thirds) and answer (the rest) must both be found in the document: of the word 5-grams of
-each, VERIFIED at least.
+benchmark is dealt into parts of that size, each searched by all documents.  Questions and answers
+are entered as sections of their own; terms are their 5-grams.  A section's threshold is the sum of
+its least scores, of as many terms as VERIFIED asks for: no document that holds so many of them
+scores less, so retrieval loses nothing that verification would accept, whatever the weights.
+Sections are numbered by their thresholds and cut into blocks, so that those of a block have like
+thresholds; for each term and block, the greatest score that a posting there can give is kept.
+
+Every document is a query.  For all documents of a chunk at once, the block maxima of each one's
+distinct terms are summed, block by block; a block whose sum does not reach its least threshold is
+skipped.  In the others, WAND moves a pivot over the block's postings and returns every section that
+reaches its own threshold.  Last, items all of whose sections were returned are verified.
 """
 
 from __future__ import annotations
@@ -32,8 +34,6 @@ from ._session import ship
 U = np.uint64
 K1, B = 1.2, 0.75
 BLOCK, BLOCKS = 4, 64
-PASSAGE, STRIDE, SECTION = 128, 64, 64
-SHARE = 0.6
 GRAM = 5
 VERIFIED = 0.6
 ITEM_WORDS = 200_000
@@ -49,38 +49,45 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Index:
-    """BM25 over sections of items.  Inputs: item ids and their words' hashes."""
+    """BM25 over the questions and answers of items.  Inputs: item ids and their words' hashes."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = [i for i, w in items if len(w)]
         texts = [w for _, w in items if len(w)]
         halves = [self.split(w) for w in texts]
         self.questions, self.answers = [grams(q) for q, _ in halves], [grams(a) for _, a in halves]
-        sections = [(n, w[s : s + SECTION]) for n, w in enumerate(texts) for s in range(0, len(w), SECTION)]
+        # of an item too short to be split, question and answer are one section
+        sections = [(n, runs(h)) for n, (w, pair) in enumerate(zip(texts, halves, strict=True)) for h in (pair if len(w) >= 2 * GRAM else pair[:1])]
+        self.parts = Counter(n for n, _ in sections)
         count = len(sections)
-        mean = sum(len(w) for _, w in sections) / max(1, count)
-        self.words = np.unique(np.concatenate([w for _, w in sections])) if sections else np.zeros(0, U)
-        counted = [Counter(np.searchsorted(self.words, w).tolist()) for _, w in sections]
+        mean = sum(len(g) for _, g in sections) / max(1, count)
+        self.terms = np.unique(np.concatenate([g for _, g in sections])) if sections else np.zeros(0, U)
+        counted = [Counter(np.searchsorted(self.terms, g).tolist()) for _, g in sections]
         held = Counter(t for c in counted for t in c)
         # a positive form of the inverse document frequency
-        idf = [math.log(1 + (count - held[t] + 0.5) / (held[t] + 0.5)) for t in range(len(self.words))]
-        scores = []
-        for (_, w), c in zip(sections, counted, strict=True):
-            norm = K1 * (1 - B + B * len(w) / mean)
+        idf = [math.log(1 + (count - held[t] + 0.5) / (held[t] + 0.5)) for t in range(len(self.terms))]
+        scores, own = [], []
+        for (_, g), c in zip(sections, counted, strict=True):
+            norm = K1 * (1 - B + B * len(g) / mean)
             scores.append({t: idf[t] * tf * (K1 + 1) / (tf + norm) for t, tf in c.items()})
-        own = [SHARE * sum(x.values()) for x in scores]
+            own.append(sum(sorted(scores[-1].values())[: math.ceil(VERIFIED * len(c) - 1e-9)]))
         order = sorted(range(count), key=lambda s: (own[s], s))
         self.owner = [sections[s][0] for s in order]
         self.threshold = [own[s] for s in order]
         self.size = max(BLOCK, -(-count // BLOCKS))
         self.least = np.array([self.threshold[s] for s in range(0, count, self.size)])
-        self.best = np.zeros((len(self.words), len(self.least)), np.float32)  # by term and block
-        self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.words]
+        self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.terms]
+        best: dict[int, float] = {}
         for place, s in enumerate(order):
             for t, x in scores[s].items():
                 self.postings[t][0].append(place)
                 self.postings[t][1].append(x)
-                self.best[t, place // self.size] = max(self.best[t, place // self.size], np.nextafter(np.float32(x), np.float32(np.inf)))
+                pair = t * len(self.least) + place // self.size
+                best[pair] = max(best.get(pair, 0.0), x)
+        # the greatest score of each pair of a term and a block that has postings, by term
+        self.pairs = np.array(sorted(best), np.int64)
+        self.best = np.array([best[p] for p in self.pairs.tolist()])
+        self.first = np.searchsorted(self.pairs, np.arange(len(self.terms) + 1) * len(self.least))
 
     @staticmethod
     def split(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,22 +97,23 @@ class Index:
         at = min(max(GRAM, -(-2 * len(w) // 3)), len(w) - GRAM)
         return w[:at], w[at:]
 
-    def lookup(self, words: np.ndarray) -> np.ndarray:
-        """The term of each word, -1 for none."""
-        if not len(self.words):
-            return np.full(len(words), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, -1)
+    def lookup(self, hashes: np.ndarray) -> np.ndarray:
+        """The term of each gram, -1 for none."""
+        if not len(self.terms):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        return np.where(self.terms[at] == hashes, at, -1)
 
     def search(self, terms: list[int], block: int) -> list[int]:
         """The block's sections whose score over distinct terms reaches their threshold, by WAND."""
         least, limit = self.least[block] * (1 - 1e-6), (block + 1) * self.size
         cursors = []
-        for t in terms:
-            top = float(self.best[t, block])
-            if top:
+        pairs = np.array(terms, np.int64) * len(self.least) + block
+        places = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        for t, place, there in zip(terms, places.tolist(), self.pairs[places] == pairs, strict=True):
+            if there:
                 at = bisect.bisect_left(self.postings[t][0], block * self.size)
-                cursors.append([self.postings[t][0][at], at, t, top])
+                cursors.append([self.postings[t][0][at], at, t, float(self.best[place])])
         out = []
         while cursors:
             cursors.sort()
@@ -136,46 +144,46 @@ class Index:
             cursors = alive
         return out
 
-    def passages(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, passage, term): the distinct known terms of each passage of some documents."""
-        term = self.lookup(words)
-        at = np.flatnonzero(term >= 0)
+    def held(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, term): the distinct known terms of some documents, by document."""
+        length = np.diff(offsets)
+        hashes = kn.gram_hashes(words, GRAM)
+        at = np.flatnonzero(self.lookup(hashes) >= 0)
         doc = np.searchsorted(offsets, at, "right") - 1
-        term, at = term[at], at - offsets[doc]
-        length = np.diff(offsets)[doc]
-        pair = doc * len(self.words) + term
-        order = np.argsort(pair, kind="stable")
-        fresh = kn.new_groups(pair[order])
-        before = np.full(len(at), -1, np.int64)
-        before[order[1:][~fresh[1:]]] = at[order[:-1][~fresh[1:]]]
-        last = np.maximum(0, -(-(length - PASSAGE) // STRIDE))  # a document's last passage holds its end
-        found = []
-        for back in range(PASSAGE // STRIDE):
-            passage = at // STRIDE - back
-            # a term counts where it comes first in a passage
-            ok = (passage >= 0) & (passage <= last) & (before < passage * STRIDE)
-            found.append((doc[ok], passage[ok], term[ok]))
-        doc, passage, term = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort((doc << 32) + passage, kind="stable")
-        return doc[order], passage[order], term[order]
+        inside = at + GRAM <= offsets[doc + 1]
+        found = [(doc[inside], self.lookup(hashes[at[inside]]))]
+        for d in np.flatnonzero((length > 0) & (length < GRAM)):
+            term = self.lookup(grams(words[offsets[d] : offsets[d + 1]]))
+            found.append((np.full(len(term), d)[term >= 0], term[term >= 0]))
+        doc, term = (np.concatenate(x) for x in zip(*found, strict=True))
+        pair = np.unique(doc * len(self.terms) + term)
+        return pair // max(1, len(self.terms)), pair % max(1, len(self.terms))
 
     def candidates(self, words: np.ndarray, offsets: np.ndarray) -> dict[int, set[int]]:
-        """The items that passages of each document score above their thresholds."""
+        """The items all of whose sections each document scores above their thresholds."""
         out: dict[int, set[int]] = {}
-        if not len(self.words):
+        if not len(self.terms):
+            return out
+        doc, term = self.held(words, offsets)
+        if not len(doc):
             return out
-        doc, passage, term = self.passages(words, offsets)
-        least = (self.least * (1 - 1e-3)).astype(np.float32)  # sums of float32 may fall a little short
-        begins = np.flatnonzero(kn.new_groups(doc, passage))
+        number = self.first[term + 1] - self.first[term]
+        block = self.pairs[kn.ranges(self.first[term], number)] % len(self.least)
+        top = self.best[kn.ranges(self.first[term], number)]
+        doc, term = np.repeat(doc, number), np.repeat(term, number)
+        order = np.lexsort((block, doc))
+        doc, term, block, top = doc[order], term[order], block[order], top[order]
+        begins = np.flatnonzero(kn.new_groups(doc, block))
         ends = np.r_[begins[1:], len(doc)]
-        for a in range(0, len(begins), 4096):
-            part = begins[a : a + 4096]
-            stop = ends[min(a + 4096, len(begins)) - 1]
-            bounds = np.add.reduceat(self.best[term[part[0] : stop]], part - part[0], axis=0)
-            for i, block in zip(*np.nonzero(bounds >= least), strict=True):
-                b, e = begins[a + i], ends[a + i]
-                if sections := self.search(term[b:e].tolist(), int(block)):
-                    out.setdefault(int(doc[b]), set()).update(self.owner[s] for s in sections)
+        bounds = np.add.reduceat(top, begins)
+        returned: dict[int, Counter] = {}
+        for i in np.flatnonzero(bounds >= self.least[block[begins]] * (1 - 1e-6)):
+            b, e = begins[i], ends[i]
+            for s in self.search(term[b:e].tolist(), int(block[b])):
+                returned.setdefault(int(doc[b]), Counter())[self.owner[s]] += 1
+        for d, items in returned.items():
+            if whole := {n for n, k in items.items() if k == self.parts[n]}:
+                out[d] = whole
         return out
 
     def verified(self, items: set[int], words: np.ndarray) -> list[tuple[int, float, float]]:
@@ -189,9 +197,14 @@ class Index:
         return out
 
 
+def runs(words: np.ndarray) -> np.ndarray:
+    """Hashes of GRAM words in a row; of fewer words, of all of them."""
+    return kn.gram_hashes(words, min(GRAM, len(words))) if len(words) else np.zeros(0, U)
+
+
 def grams(words: np.ndarray) -> np.ndarray:
     """Distinct hashes of GRAM words in a row; of fewer words, of all of them."""
-    return np.unique(kn.gram_hashes(words, min(GRAM, len(words)))) if len(words) else np.zeros(0, U)
+    return np.unique(runs(words))
 
 
 def _indexes(benchmark: DataFrame):

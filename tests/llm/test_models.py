@@ -314,6 +314,46 @@ def test_wand_equals_full_scores():
         assert {s for b in range(len(index.least)) for s in index.search(terms, b)} == want
 
 
+def test_decontamination_of_question_and_answer_far_apart(spark, docs_of):
+    """Question and answer hundreds of words apart, each partly changed or dealt in pieces over the document."""
+    rng = random.Random(8)
+    text = lambda n: [f"f{rng.randrange(3000)}" for _ in range(n)]
+    items = [(i, " ".join(f"i{i}x{rng.randrange(400)}" if rng.random() < 0.7 else f"f{rng.randrange(3000)}" for _ in range(rng.choice([12, 40, 60, 90, 150])))) for i in range(30)]
+    docs, far = [], set()
+    for d in range(90):
+        i, t = items[d % 30]
+        w = t.split()
+        cut = min(max(5, -(-2 * len(w) // 3)), len(w) - 5)
+        q, a = w[:cut], w[cut:]
+        if d >= 30 and len(w) > 12:  # one word in each half is another, which takes 5 grams at most
+            q, a = ([*h[: len(h) // 3], "other", *h[len(h) // 3 + 1 :]] for h in (q, a))
+        if d >= 60:  # the question in two pieces, too
+            q = [*q[: len(q) // 2], *text(300), *q[len(q) // 2 :]]
+        docs.append((d, " ".join([*text(50), *q, *text(rng.choice([150, 300, 600])), *a, *text(50)])))
+    want = exhaustive(items, docs)
+    far = {(d, d % 30) for d in range(30)}
+    assert far <= want and len(want) > 60
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    df = docs_of(docs)
+    assert {(r.doc_id, r.item_id) for r in decontam.decontaminate(df, benchmark).collect()} == want
+    assert {r.doc_id for r in decontam.uncontaminated(df, benchmark).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_wand_over_grams_equals_full_scores():
+    rng = random.Random(6)
+    index = decontam.Index([(i, np.array([rng.randrange(1, 4) for _ in range(rng.randint(3, 40))], np.uint64)) for i in range(300)])
+    returned = 0
+    for _ in range(60):
+        terms = sorted(rng.sample(range(len(index.terms)), rng.randint(1, len(index.terms) * 3 // 4)))
+        score = np.zeros(len(index.owner))
+        for t in terms:
+            score[index.postings[t][0]] += index.postings[t][1]
+        want = {s for s in range(len(score)) if score[s] >= index.threshold[s] * (1 - 1e-6)}
+        assert {s for b in range(len(index.least)) for s in index.search(terms, b)} == want
+        returned += len(want)
+    assert returned > 1000
+
+
 # ---------------------------------------------------------------- token rollups
 
 
