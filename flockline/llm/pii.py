@@ -28,6 +28,12 @@ phone  ten digits, country code apart                  the ten digits
 card   13 to 19 digits, Luhn                           all digits but the last, which is
                                                        computed anew
 ====== =============================================== =========================================
+
+Numbers of tokens (IBAN, card) may have other digits or capitals beside them, so the pattern takes
+the whole run of tokens and every part of it, from token to token, is validated.  Where valid parts
+overlap, IBANs of their country's length come first, then cards in usual groups, social security
+numbers and dates, then other IBANs and phones, then other cards; of one rank the longest, then the
+first.
 """
 
 from __future__ import annotations
@@ -48,7 +54,19 @@ PATTERNS = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
 }
-PATTERN = "|".join(PATTERNS.values())
+# runs of tokens that may hold an IBAN or a card; a token is not the begin of an address or a dotted number
+_TOKEN = rf"(?![\w.%+-]++@|{_OCTET}(?:\.{_OCTET}){{3}}|\d{{2}}[./]\d{{2}}[./]\d{{4}}|\d{{3}}\.\d{{3}}[ .-]\d{{4}})"
+_CAPITALS = rf"{_TOKEN}[A-Z0-9]++(?![a-z])"
+_DIGITS = rf"{_TOKEN}\d{{1,19}}+(?!\w|\.\d|-(?!\d))"
+RUNS = {
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{8}}){_CAPITALS}(?:[ -]{_CAPITALS})*+",
+    "card": rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}}){_DIGITS}(?:[ -]{_DIGITS})*+",
+}
+PATTERN = "|".join((PATTERNS | RUNS).values())
+PIECES = "array<struct<text:string,number:boolean>>"
+WIDEST = 19  # tokens of a card of single digits
+USUAL_CARD = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1(?:\d|\d{4}(?:\1\d{1,3})?)|\d{4}([ -])\d{6}\2\d{4,5})$"
+IBAN_LENGTHS = "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
 
 AREAS, SERIALS = 898, 99 * 9999  # social security numbers: 001-899 but 666; group 01-99, serial 0001-9999
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days, to 2099-12-31
@@ -133,6 +151,46 @@ def mod97(text: Column) -> Column:
     return F.aggregate(_chars(text), F.lit(0), lambda s, c: ((s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(F.when(c.rlike("[0-9A-Z]"), c).otherwise(F.lit("0")))) % 97).cast("int"))
 
 
+def iban_valid(flat: Column) -> Column:
+    return mod97(F.concat(F.substring(flat, 5, 40), F.substring(flat, 1, 4))) == 1
+
+
+def _rank(part: Column) -> Column:
+    """The rank of a part of a run that is a valid number, null for others."""
+    flat, digits = F.regexp_replace(part, " ", ""), _digits(part)
+    own = F.array_contains(F.split(F.lit(IBAN_LENGTHS), " "), F.concat(F.substring(flat, 1, 2), F.length(flat).cast("string")))
+    shaped = part.rlike(r"^(?:(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}|(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01]))$")
+    iban = F.when(iban_valid(flat), F.when(own, 0).otherwise(2))
+    card = F.when(luhn_sum(digits) % 10 == 0, F.when(part.rlike(USUAL_CARD), 1).otherwise(3))
+    return F.when(part.rlike(f"^(?:{PATTERNS['iban']})$"), iban).when(shaped, 1).when(part.rlike(f"^(?:{PATTERNS['phone']})$"), 2).when(part.rlike("^[0-9 -]+$") & F.length(digits).between(13, 19), card)
+
+
+def split_run(m: Column) -> Column:
+    """A run of tokens as pieces (text, number): the valid numbers in it, and what lies between."""
+    start = F.struct(F.regexp_extract_all(m, F.lit("[A-Z0-9]+|[ -]"), F.lit(0)).alias("bits"))  # tokens and separators in turn
+
+    def chosen(_: Column, s: Column) -> Column:
+        bits = s["bits"]
+        last = ((F.size(bits) - 1) / 2).cast("int")
+        text = lambda i, j: F.array_join(F.slice(bits, 2 * i + 1, 2 * (j - i) + 1), "")
+        part = lambda i, j: F.struct(_rank(text(i, j)).alias("rank"), (-F.length(text(i, j))).alias("size"), i.alias("i"), j.alias("j"), text(i, j).alias("text"))
+        parts = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.filter(F.transform(F.sequence(i, F.least(i + (WIDEST - 1), last)), lambda j: part(i, j)), lambda p: p["rank"].isNotNull())))
+        none = F.filter(parts, lambda p: F.lit(False))
+        apart = lambda held, p: ~F.exists(held, lambda h: (h["i"] <= p["j"]) & (p["i"] <= h["j"]))
+        taken = F.aggregate(F.array_sort(parts), none, lambda held, p: F.when(apart(held, p), F.concat(held, F.array(p))).otherwise(held))
+        return F.aggregate(F.array(F.struct(taken.alias("taken"))), F.array().cast(PIECES), lambda _, t: pieces(bits, t["taken"]))
+
+    def pieces(bits: Column, taken: Column) -> Column:
+        def piece(bit: Column, at: Column) -> Column:
+            here = F.filter(taken, lambda p: (2 * p["i"] <= at) & (at <= 2 * p["j"]))
+            first = F.get(here, F.lit(0))
+            return F.when(F.size(here) == 0, F.struct(bit.alias("text"), F.lit(False).alias("number"))).when(2 * first["i"] == at, F.struct(first["text"].alias("text"), F.lit(True).alias("number")))
+
+        return F.filter(F.transform(bits, piece), lambda x: x.isNotNull())
+
+    return F.aggregate(F.array(start), F.array().cast(PIECES), chosen)
+
+
 def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
     return F.concat(F.array_join(feistel_chars(_chars(local), f"{key}|email"), ""), F.lit("@"), F.substring_index(m, "@", -1))
@@ -142,7 +200,7 @@ def _iban(m: Column, key: str) -> Column:
     flat = F.regexp_replace(m, " ", "")
     country, body = F.substring(flat, 1, 2), F.array_join(feistel_chars(_chars(F.substring(flat, 5, 40)), f"{key}|iban"), "")
     check = F.lpad((98 - mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(mod97(F.concat(F.substring(flat, 5, 40), F.substring(flat, 1, 4))) == 1, _refill(m, _chars(F.concat(country, check, body)), "[A-Z0-9]")).otherwise(m)
+    return F.when(iban_valid(flat), _refill(m, _chars(F.concat(country, check, body)), "[A-Z0-9]")).otherwise(m)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -217,16 +275,23 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with the valid values in `text` replaced; columns n_found and n_replaced are added.
 
-    Defined cases: null text stays null with counts 0; empty text stays empty; a column that has
+    Defined cases: null text stays null with counts 0; empty text stays empty; n_found counts
+    the candidates, of a run the valid ones or one; a column that has
     the name of an added one is replaced; all other columns and repeated rows stay as they are.
     """
     text = F.col("text").cast("string")
     found = F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
     out = docs.withColumn("_found", found)
-    out = out.withColumn("_made", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key))).otherwise(F.col("_found")))
+    split = lambda m: F.when(kind(m).isin(*RUNS), split_run(m)).otherwise(F.array(F.struct(m.alias("text"), F.lit(True).alias("number"))))
+    out = out.withColumn("_parts", F.when(F.size("_found") > 0, F.transform("_found", split)).otherwise(F.array().cast(f"array<{PIECES}>")))
+    made = lambda x: F.struct(F.when(x["number"], pseudonym(x["text"], key)).otherwise(x["text"]).alias("made"), x["text"].alias("text"), x["number"].alias("number"))
+    out = out.withColumn("_made", F.when(F.size("_found") > 0, F.transform("_parts", lambda xs: F.transform(xs, made))))
     # between the matches lie the pieces of the text: piece 0, match 0, piece 1, ...
     pieces = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_made"), i), F.lit("")))), "")
+    filled = lambda i: F.array_join(F.transform(F.get(F.col("_made"), i), lambda x: x["made"]), "")
+    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(filled(i), F.lit("")))), "")
     out = out.withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(F.col("text")))
-    changed = F.size(F.filter(F.zip_with("_found", "_made", lambda a, b: a != b), lambda x: x))
-    return out.withColumn("n_found", F.size("_found").cast("long")).withColumn("n_replaced", changed.cast("long")).drop("_found", "_made")
+    count = lambda which: F.aggregate(F.coalesce(F.col("_made"), F.array()), F.lit(0).cast("long"), which)
+    number = count(lambda n, xs: n + F.greatest(F.lit(1), F.size(F.filter(xs, lambda x: x["number"]))).cast("long"))
+    changed = count(lambda n, xs: n + F.size(F.filter(xs, lambda x: x["made"] != x["text"])).cast("long"))
+    return out.withColumn("n_found", number).withColumn("n_replaced", changed).drop("_found", "_parts", "_made")

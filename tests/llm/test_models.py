@@ -220,6 +220,27 @@ def test_pseudonyms_differ_for_different_values(spark):
     assert pii.pseudonymise(df).select("text").distinct().count() == 2000
 
 
+def test_numbers_beside_short_tokens(spark, docs_of):
+    """Cards and IBANs with digits and capitals on both sides are replaced, the neighbours stay."""
+    numbers = ["4111 1111 1111 1111", "4111111111111111", "4539-1488-0343-6467", "3782 822463 10005", "BE68 5390 0754 7034", "BE68539007547034", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00"]
+    sides = [("", " 123"), ("", " 12"), ("1 ", ""), ("12 ", " 7"), ("", " EUR"), ("AB12 ", ""), ("7 ", " EUR 2024"), ("", " 2024 12"), ("999 ", "-1")]
+    rows = [(v, f"x {a}{v}{b} y") for v in numbers for a, b in sides]
+    two = ["BE68 5390 0754 7034 4111 1111 1111 1111", "4111 1111 1111 1111 4539 1488 0343 6467 12", "7 2021-02-28 4111 1111 1111 1111", "7 123-45-6789 4111 1111 1111 1111"]
+    got = [r.text for r in pii.pseudonymise(docs_of(list(enumerate([t for _, t in rows] + two)))).orderBy("doc_id").collect()]
+    for (v, t), g in zip(rows, got, strict=False):
+        form = re.sub("[0-9]", r"\\d", v) if v[0].isdigit() else re.sub("[0-9]", r"\\d", v[:2] + v[2:])
+        a, b = t.split(v)
+        assert re.fullmatch(re.escape(a) + f"({form})" + re.escape(b), g) and v not in g, (t, g)
+        assert not v[0].isdigit() or luhn(re.fullmatch(re.escape(a) + f"({form})" + re.escape(b), g)[1]), (t, g)
+    for t, g in zip(two, got[len(rows) :], strict=True):
+        same = [p for p in re.findall(r"\d{4}(?:[ ]\d{4}){3}|\d{4}-\d\d-\d\d|\d{3}-\d\d-\d{4}|BE68[ 0-9]{15}", t) if p in g]
+        assert len(g) == len(t) and not same, (t, g)
+    words = "4111 1111 1111 1111 42@mail.com or 4111 1111 1111 1111 58.19.48.103 or 4111 1111 1111 1111 02/28/2021"
+    changed = pii.pseudonymise(docs_of([(1, words), (2, "4111 1111 1111 1112 123")])).orderBy("doc_id").collect()
+    assert changed[0].n_replaced == 6 and not re.search("42@|58[.]19[.]48|02/28/2021", changed[0].text)
+    assert changed[1].n_replaced == 0
+
+
 # ---------------------------------------------------------------- secrets
 
 
