@@ -1,20 +1,29 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, as connected classes.
 
-Method: count-vector R-tree.  Tokens (shingles) are hashed into 64 groups; the counts by group make
+Method: count-vector R-tree.  Tokens (shingles) are hashed into groups; the counts by group make
 each set a point; the overlap of two sets is at most the sum of the coordinate minima of their
 points, and at most the sum of minima with the upper corner of an R-tree node that holds one of
 them.  Surviving pairs are verified on the sets.
 
-The trees are built over blocks of related documents, found without loss.  Sets with a Jaccard
-similarity of at least s share one of their rarest shingles: of a set of n, the first
-n - ceil(s n) + 1 in an order that all sets agree on, here by document frequency and then by hash.
-Frequencies are counted over all documents: groups of documents send the hashes they hold to
-buckets, which send back those that several documents have.  A document then sends the frequent ones among its
-rarest shingles, with its band of sizes; those that meet are joined to the least of them (a star, never all
-pairs; pre-aggregated a group), and the components of these stars are the blocks.  Passages that many
-documents share are in no such prefix, so they don't tie blocks together.  Equal sets are one point.  A
-block beyond TILE documents or TILE_SHINGLES shingles is cut into parts, and each pair of parts is
-compared in a task of its own, so that no group grows without bound.
+*Where pairs meet.*  Sets with a Jaccard similarity of at least s share one of their rarest
+shingles: of a set of n, the first n - ceil(s n) + 1 in an order that all sets agree on, here by
+document frequency and then by hash.  Frequencies are counted over all documents: groups of documents
+send the hashes they hold to buckets, which send back those that several have.  A document then
+sends its point once to each bucket that one of its rarest shared shingles falls to, with those
+shingles and its band of sizes.
+
+*Join.*  In a bucket, the sets that share a shingle are joined by an R-tree over their points.  What
+goes on is a spanning forest of the surviving pairs, and the components of these forests are the
+blocks: documents that merely share a passage don't survive, so passages don't tie blocks together.
+Long sets have more groups, about one for DENSITY shingles, so that the bounds stay as sharp; two
+points of different sizes are compared in the groups of the coarser.
+
+*Verification.*  Blocks are small but for true clusters.  In a block, an R-tree again proposes and the
+sets decide, from one set to those not yet reached, so a cluster costs about one comparison a set and
+not one a pair.  A shingle of more than HOT sets, or a block of more than TILE sets or TILE_SHINGLES
+shingles, is cut into parts, and each pair of parts is a task of its own: no group grows without bound.
+
+Equal sets are one point, wherever they are.  Texts are read three times and shingled twice.
 """
 
 from __future__ import annotations
@@ -23,20 +32,22 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernels as kn
-from ._repeats import BLOCKS, _table, doc_bucket, next_prime
+from ._repeats import BLOCKS, _table, next_prime
 from ._session import cut, ship, text_buckets
 from .components import components
 
 U = np.uint64
-GROUPS = 64
+GROUPS, MOST_GROUPS, DENSITY = 64, 4096, 4
 LEAF, FANOUT = 32, 16
-TILE, TILE_SHINGLES = 2000, 1_000_000
+TILE, TILE_SHINGLES = 8_000, 4_000_000
+HOT = 8_000
 RATIO = 1.4
 MEET = 8
+SALT = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,17 +92,14 @@ def _signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
-def _describe(width: int):
-    def run(batches):
-        for batch in batches:
-            n = np.zeros(batch.num_rows, np.int64)
-            s = np.zeros((2, batch.num_rows), np.int64)
-            for a, b, values, offsets in _text_chunks(batch, width):
-                n[a:b] = np.diff(offsets)
-                s[0, a:b], s[1, a:b] = _signatures(values, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(s[0]), pa.array(s[1])], ["doc_id", "n_shingles", "s1", "s2"])
-
-    return run
+def _first_of_each(seen: set, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """Which sets are not among those seen, nor before them here; seen grows by them."""
+    out = np.zeros(len(s1), bool)
+    for i, pair in enumerate(zip(s1.tolist(), s2.tolist(), strict=True)):
+        if pair not in seen:
+            seen.add(pair)
+            out[i] = True
+    return out
 
 
 def bands(n: int, percent: int) -> list[int]:
@@ -108,6 +116,12 @@ def _band(n: int) -> int:
     return bisect_left(_UPPER, n)
 
 
+def groups_of(n: int, percent: int) -> int:
+    """The number of groups of a set of n: a power of two that no set it may link with falls below by more than folding."""
+    most = _UPPER[_band(n * 100 // percent)]
+    return min(MOST_GROUPS, max(GROUPS, 1 << max(0, most // DENSITY - 1).bit_length()))
+
+
 def prefix_length(sizes: np.ndarray, percent: int) -> np.ndarray:
     """How many of the first shingles of a set hold one of every set that is like it."""
     return sizes - (-(-sizes * percent // 100)) + 1
@@ -118,25 +132,30 @@ def _code(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (values % U(n)).astype(np.int64), (values // U(n)) & U((1 << 40) - 1)
 
 
+FREQUENCY_KINDS = (np.int64, np.uint32, np.uint8, np.uint32)
+
+
 def _send_shingles(width: int, n: int):
     def run(table):
-        db = table.column("db")[0].as_py()
-        parts = [values for _, _, values, _ in _text_chunks(table, width)]
+        db, seen, parts = table.column("db")[0].as_py(), set(), []
+        for _, _, values, offsets in _text_chunks(table, width):
+            new = _first_of_each(seen, *_signatures(values, offsets))
+            parts.append(values[np.repeat(new, np.diff(offsets))])
         values, count = np.unique(np.concatenate(parts), return_counts=True)
         bucket, code = _code(values, n)
         keys, blocks = [], []
         for to, (c, k) in kn.split_rows(bucket, code, count):
             keys.append(to)
-            blocks.append(kn.pack(np.array([db]), c.astype(np.uint32), (c >> U(32)).astype(np.uint8), np.minimum(k, 255).astype(np.uint8)))
+            blocks.append(kn.pack(np.array([db]), c.astype(np.uint32), (c >> U(32)).astype(np.uint8), k.astype(np.uint32)))
         return _table(keys, blocks)
 
     return run
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """For each group that sent a shingle: those that several documents have, with frequencies up to 255."""
+    """For each group that sent a shingle: those that several sets have, with their frequencies."""
     bucket = table.column("key")[0].as_py()
-    parts = [kn.unpack(v.as_py(), np.int64, np.uint32, np.uint8, np.uint8) for v in table.column("block")]
+    parts = [kn.unpack(v.as_py(), *FREQUENCY_KINDS) for v in table.column("block")]
     source = np.concatenate([np.full(len(p[1]), i, np.int32) for i, p in enumerate(parts)])
     code = np.concatenate([p[1] for p in parts]).astype(U) | (np.concatenate([p[2] for p in parts]).astype(U) << U(32))
     count = np.concatenate([p[3] for p in parts]).astype(np.int64)
@@ -144,18 +163,18 @@ def _count(table: pa.Table) -> pa.Table:
     first = kn.new_groups(code[order])
     group = np.empty(len(code), np.int64)
     group[order] = np.cumsum(first) - 1
-    total = np.minimum(np.bincount(group, count, minlength=1).astype(np.int64), 255)[group]
+    total = np.bincount(group, count, minlength=1).astype(np.int64)[group]
     several = total > 1
     keys, blocks = [], []
-    for i, (c, k) in kn.split_rows(source[several], code[several], total[several]):
+    for i, (c, k) in kn.split_rows(source[several], code[several], np.minimum(total[several], (1 << 32) - 1)):
         keys.append(int(parts[i][0][0]))
-        blocks.append(kn.pack(np.array([bucket]), c.astype(np.uint32), (c >> U(32)).astype(np.uint8), k.astype(np.uint8)))
+        blocks.append(kn.pack(np.array([bucket]), c.astype(np.uint32), (c >> U(32)).astype(np.uint8), k.astype(np.uint32)))
     return _table(keys, blocks)
 
 
 def _frequencies(found: pa.Table, n: int):
     """A function from shingles to their frequencies, 1 where none was sent back."""
-    parts = [kn.unpack(v.as_py(), np.int64, np.uint32, np.uint8, np.uint8) for v in found.column("block")] if found.num_rows else []
+    parts = [kn.unpack(v.as_py(), *FREQUENCY_KINDS) for v in found.column("block")] if found.num_rows else []
     if not parts:
         return lambda values: np.ones(len(values), np.int64)
     join = lambda bucket, code: kn.mix64(bucket.astype(U) * U(0x9E3779B97F4A7C15) + code)
@@ -172,94 +191,90 @@ def _frequencies(found: pa.Table, n: int):
     return look_up
 
 
-def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by key and doc: order, group starts, and (doc, least doc of its key) once each."""
-    order = np.lexsort((doc, key))
-    first = kn.new_groups(key[order])
-    d = doc[order]
-    least = d[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    pairs = np.unique(np.stack([d, least])[:, d != least], axis=1)
-    return order, first, pairs
-
-
-def _forest(pairs: np.ndarray) -> np.ndarray:
-    """The same connections with one edge a document, to the least document that pairs connect it to."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
-    for x, y in zip(pairs[0].tolist(), pairs[1].tolist(), strict=True):
-        x, y = top(x), top(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    edges = [(x, r) for x in parent if (r := top(x)) != x]
-    return np.array(edges, np.int64).reshape(-1, 2).T
-
-
-def _edge_blocks(pairs: np.ndarray, n: int) -> tuple[list[int], list[bytes]]:
-    keys, blocks = [], []
-    for key, (a, b) in kn.split_rows(doc_bucket(pairs[0], max(1, n // MEET)), pairs[0], pairs[1]):
-        keys.append(-key - 1)
-        blocks.append(kn.pack(a, b))
-    return keys, blocks
-
-
-def _prefix_keys(values: np.ndarray, offsets: np.ndarray, frequency: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the shingles of each set's prefix that other documents have, once a band."""
+def _prefix_keys(values: np.ndarray, offsets: np.ndarray, frequency: np.ndarray, sign: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the shingles of each set's prefix that other sets have, once a band and pair of parts."""
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((values, frequency, row))  # within a set: rarest first
     rank = np.arange(len(values)) - offsets[row]
     kept = order[(rank < prefix_length(sizes, percent)[row]) & (frequency[order] > 1)]
-    row, value = row[kept], values[kept]
+    row, value, often = row[kept], values[kept], frequency[kept]
     low = np.array([_band(int(n)) for n in sizes], np.int64)
     high = np.array([_band(int(n) * 100 // percent) for n in sizes], np.int64)
     each = (high - low + 1)[row]
     band = kn.ranges(low[row], each)
-    row, value = np.repeat(row, each), np.repeat(value, each)
-    return row, kn.mix64(value + kn.mix64(band.astype(U) + U(1)))
+    row, value, often = np.repeat(row, each), np.repeat(value, each), np.repeat(often, each)
+    key = kn.mix64(value + kn.mix64(band.astype(U) + U(1)))
+    # all senders know the frequency, so they agree on the parts
+    parts = -(-often // HOT)
+    own = (kn.mix64(sign[row].view(U)) % parts.astype(U)).astype(np.int64)
+    other = kn.ranges(np.zeros(len(row), np.int64), parts)
+    row, key, own, often = (np.repeat(x, parts) for x in (row, key, own, parts))
+    tile = np.minimum(own, other) * often + np.maximum(own, other)
+    return row, np.where(often > 1, kn.mix64(key + kn.mix64(tile.astype(U) + U(3))), key)
+
+
+def _points(values: np.ndarray, offsets: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """The counts by group of each set, one set after the other."""
+    sizes = np.diff(offsets)
+    start = np.r_[0, np.cumsum(groups)]
+    at = np.repeat(start[:-1], sizes) + (values >> U(8)).astype(np.int64) % np.repeat(groups, sizes)
+    return np.bincount(at, minlength=start[-1]).astype(np.uint32)
+
+
+POINT_KINDS = (np.int64, np.uint32, np.uint16, np.uint32, np.uint32, np.uint64)
+SET_KINDS = (np.int64, np.bool_, np.int64, np.int64, np.int64, np.int64)
 
 
-def _send_prefixes(width: int, percent: int, n: int):
+def _send_points(width: int, percent: int, n: int):
+    """Key -1 - db: what is known of each row; other keys: points and the keys that led them there."""
+
     def run(table, found):
         if not table.num_rows:
             return _table([], [])
-        table = table.filter(table.column("doc_id").is_valid())
-        doc = np.asarray(table.column("doc_id")).astype(np.int64)
-        frequency = _frequencies(found, n)
-        docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, U)]
-        for a, _, values, offsets in _text_chunks(table, width):
-            row, key = _prefix_keys(values, offsets, frequency(values), percent)
-            docs.append(doc[row + a])
-            keys.append(key)
-        d, k = np.concatenate(docs), np.concatenate(keys)
-        order, first, pairs = _stars(k, d)
-        out_keys, blocks = _edge_blocks(_forest(pairs), n)
-        d, k = d[order][first], k[order][first]
-        by = np.argsort(d, kind="stable")
-        d, k = d[by], k[by]
-        # prefixes are a small part of the texts: in fewer buckets, fewer edges repeat
-        for to, (x, y) in kn.split_rows((k % U(max(1, n // MEET))).astype(np.int64), d, k):
-            cuts = np.flatnonzero(kn.new_groups(x))
+        db, ids = table.column("db")[0].as_py(), table.column("doc_id").combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        has, doc = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)).astype(np.int64)
+        frequency, seen = _frequencies(found, n), set()
+        sizes, s1, s2 = (np.zeros(len(doc), np.int64) for _ in range(3))
+        points, keys = [], []
+        for a, b, values, offsets in _text_chunks(table, width):
+            sizes[a:b] = np.diff(offsets)
+            s1[a:b], s2[a:b] = _signatures(values, offsets)
+            new = has[a:b] & (sizes[a:b] > 0)
+            new[new] = _first_of_each(seen, s1[a:b][new], s2[a:b][new])
+            values, offsets = values[np.repeat(new, sizes[a:b])], np.r_[0, np.cumsum(sizes[a:b][new])]
+            row, key = _prefix_keys(values, offsets, frequency(values), s1[a:b][new], percent)
+            used, row = np.unique(row, return_inverse=True)  # sets that share nothing go nowhere
+            groups = np.array([groups_of(int(m), percent) for m in sizes[a:b][new][used]], np.int64)
+            at = kn.ranges(offsets[:-1][used], np.diff(offsets)[used])
+            counts = _points(values[at], np.r_[0, np.cumsum(np.diff(offsets)[used])], groups)
+            points += zip(s1[a:b][new][used].tolist(), sizes[a:b][new][used].tolist(), np.split(counts, np.cumsum(groups)[:-1])[: len(used)], strict=True)
+            keys.append((row + len(points) - len(used), key))
+        out_keys, blocks = [-1 - db], [kn.pack(doc, has, sizes, s1, s2, np.asarray(table.column("th")).astype(np.int64))]
+        row, key = (np.concatenate(x) for x in zip(*keys, strict=True))
+        for to, (r, k) in kn.split_rows((key % U(max(1, n // MEET))).astype(np.int64), row, key):
+            order = np.argsort(r, kind="stable")
+            r, k = r[order], k[order]
+            cuts = np.flatnonzero(kn.new_groups(r))
+            some = [points[i] for i in r[cuts].tolist()]
+            sent = kn.pack(
+                np.array([p[0] for p in some], np.int64), np.array([p[1] for p in some], np.uint32), np.array([len(p[2]) for p in some], np.uint16),
+                np.concatenate([p[2] for p in some]), np.diff(np.r_[cuts, len(r)]).astype(np.uint32), k,
+            )
             out_keys.append(to)
-            blocks.append(kn.pack(x[cuts], np.diff(np.r_[cuts, len(x)]).astype(np.uint32), y))
+            blocks.append(sent)
         return _table(out_keys, blocks)
 
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    if table.column("key")[0].as_py() < 0:
-        a, b = kn.unpack_all(table.column("block"), np.int64, np.int64)
-        pairs = _forest(np.stack([a, b]))
-    else:
-        parts = [kn.unpack(v.as_py(), np.int64, np.uint32, np.uint64) for v in table.column("block")]
-        doc = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        pairs = _forest(_stars(np.concatenate([p[2] for p in parts]), doc)[2])
-    return pa.Table.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+def _sets(batches):
+    """The rows of what _send_points knows."""
+    for batch in batches:
+        for key, block in zip(batch.column("key").to_pylist(), batch.column("block"), strict=True):
+            doc, has, n, s1, s2, th = kn.unpack(block.as_py(), *SET_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=~has), pa.array(np.full(len(doc), -1 - key)), *map(pa.array, (n, s1, s2, th))], ["doc_id", "db", "n_shingles", "s1", "s2", "th"])
 
 
 class CountTree:
@@ -296,90 +311,171 @@ class CountTree:
         return nodes[bound * (100 + percent) >= percent * (size + self.sizes[nodes])]
 
 
+def reached(counts: np.ndarray, sizes: np.ndarray, percent: int, verified=None) -> np.ndarray:
+    """A label for each point, equal for points that surviving pairs connect.
+
+    verified(i, others): which of the others i links with; without it, the bounds decide.  From each
+    point only those not yet reached are looked at: a dense cluster takes a search or two.
+    """
+    m = len(sizes)
+    label, left = np.full(m, -1, np.int64), m
+    tree = CountTree(counts, sizes)
+    for seed in range(m):
+        if label[seed] >= 0:
+            continue
+        label[seed], left, todo = seed, left - 1, [seed]
+        while todo and left:
+            i = todo.pop()
+            near = tree.order[tree.search(counts[i], int(sizes[i]), percent)]
+            near = near[label[near] < 0]
+            if verified is not None and len(near):
+                near = verified(i, near)
+            label[near] = seed
+            left -= len(near)
+            todo += near.tolist()
+    return label
+
+
+class Forest:
+    """Disjoint sets of numbers."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+
+
+def _folded(counts: np.ndarray, start: np.ndarray, groups: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The points of some rows in the groups of the coarsest of them."""
+    least = int(groups[rows].min())
+    out = np.zeros((len(rows), least), np.int32)
+    for g in np.unique(groups[rows]).tolist():
+        some = np.flatnonzero(groups[rows] == g)
+        out[some] = counts[start[rows[some]][:, None] + np.arange(g)].reshape(len(some), g // least, least).sum(axis=1)
+    return out
+
+
+def _meet(percent: int):
+    """(a, b): a spanning forest of the pairs of sets, by their first sums, that the R-trees let survive."""
+
+    def run(table):
+        parts = [kn.unpack(v.as_py(), *POINT_KINDS) for v in table.column("block")]
+        sign, sizes, groups, counts, number, key = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        sizes, groups = sizes.astype(np.int64), groups.astype(np.int64)
+        start = np.r_[0, np.cumsum(groups)[:-1]]
+        # equal sets of several groups are one point
+        _, first, same = np.unique(sign, return_index=True, return_inverse=True)
+        point = first[same][np.repeat(np.arange(len(sign)), number)]
+        order = np.lexsort((point, key))
+        key, point = key[order], point[order]
+        once = kn.new_groups(key, point)
+        key, point = key[once], point[once]
+        cuts = np.flatnonzero(kn.new_groups(key))
+        ends = np.r_[cuts[1:], len(key)]
+        several = ends - cuts > 1
+        # near copies meet under many shingles: the same company is joined once
+        names = [np.add.reduceat(kn.mix64(sign[point].view(U) ^ U(x)), cuts) for x in (5, 11)] if len(cuts) else [np.zeros(0, U)] * 2
+        _, chosen = np.unique(np.stack([*names, several.astype(U)]), axis=1, return_index=True)
+        forest = Forest()
+        for g in chosen[several[chosen]].tolist():
+            rows = point[cuts[g] : ends[g]]
+            if len({forest.top(r) for r in rows.tolist()}) > 1:
+                for r, x in zip(rows.tolist(), rows[reached(_folded(counts, start, groups, rows), sizes[rows], percent)].tolist(), strict=True):
+                    forest.join(r, x)
+        edges = [(x, r) for x in forest.parent if (r := forest.top(x)) != x]
+        a, b = np.array(edges, np.int64).reshape(-1, 2).T
+        return pa.Table.from_arrays([pa.array(sign[a]), pa.array(sign[b])], ["a", "b"])
+
+    return run
+
+
 def link(values: np.ndarray, offsets: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
     """A label for each set, equal for sets that links connect.
 
     side: 0 or 1 for each set; only pairs across the sides are compared then.
-    Pairs that other links have connected already need no verification.
     """
     sizes = np.diff(offsets)
     m = len(sizes)
-    label = np.arange(m)
     if m < 2:
-        return label
-    row = np.repeat(np.arange(m), sizes)
-    counts = np.bincount(row * GROUPS + (values >> U(8)).astype(np.int64) % GROUPS, minlength=m * GROUPS).reshape(m, GROUPS).astype(np.int32)
-    tree = CountTree(counts, sizes)
-    for place in range(m):
-        i = tree.order[place]
-        near = tree.search(counts[i], int(sizes[i]), percent)
-        near = tree.order[near[near < place]]
+        return np.arange(m)
+    groups = GROUPS
+    while groups < MOST_GROUPS and groups * DENSITY < np.median(sizes):
+        groups *= 2
+
+    def verified(i: int, near: np.ndarray) -> np.ndarray:
         if side is not None:
             near = near[side[near] != side[i]]
-        near = near[label[near] != label[i]]
         own = values[offsets[i] : offsets[i + 1]]
-        while len(near):
-            some, near = near[:256], near[256:]
-            at = kn.ranges(offsets[some], sizes[some])
-            v = values[at]
+        linked = []
+        for some in np.array_split(near, len(near) // 256 + 1):
+            v = values[kn.ranges(offsets[some], sizes[some])]
             spot = np.minimum(np.searchsorted(own, v), len(own) - 1)
             common = np.bincount(np.repeat(np.arange(len(some)), sizes[some]), own[spot] == v, minlength=len(some)).astype(np.int64)
-            for j in some[100 * common >= percent * (sizes[some] + sizes[i] - common)]:
-                if label[j] != label[i]:
-                    label[label == label[j]] = label[i]
-            near = near[label[near] != label[i]]
-    return label
+            linked.append(some[100 * common >= percent * (sizes[some] + sizes[i] - common)])
+        return np.concatenate(linked)
 
+    return reached(_points(values, offsets, np.full(m, groups)).reshape(m, groups).astype(np.int32), sizes, percent, verified)
 
-TILE_ROWS = "block long, x int, y int, side int, doc_id long, text string"
-
-
-def _deal(width: int):
-    """Members of blocks with their texts, a row for each tile that compares them."""
-
-    def run(table, members):
-        out = []
-        if table.num_rows and members.num_rows:
-            known = {r["rep"]: r for r in members.to_pylist()}
-            ids = table.column("doc_id").to_pylist()
-            rows = [i for i, d in enumerate(ids) if d in known]
-            some = table.take(pa.array(rows, pa.int64()))
-            sign = np.concatenate([np.zeros(0, np.int64), *(_signatures(values, offsets)[0] for _, _, values, offsets in _text_chunks(some, width))]) if rows else []
-            texts = some.column("text")
-            sent = set()
-            for j, i in enumerate(rows):
-                m = known[ids[i]]
-                if m["s1"] != sign[j] or ids[i] in sent:  # another text under the same id, or a repeat of the row
-                    continue
-                sent.add(ids[i])
-                for other in range(m["parts"]):
-                    x, y = min(m["part"], other), max(m["part"], other)
-                    out.append((m["block"], x, y, -1 if x == y else int(m["part"] > other), ids[i], texts[j].as_py()))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
-        cols = list(zip(*out, strict=True)) or [()] * len(kinds)
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["block", "x", "y", "side", "doc_id", "text"])
 
-    return run
+TILE_ROWS = "block long, x int, y int, side int, doc_id long, s1 long, s2 long, text string"
+
+
+def _deal(table: pa.Table, members: pa.Table) -> pa.Table:
+    """The text of each member set of a block, a row for each tile that compares it."""
+    out = []
+    if table.num_rows and members.num_rows:
+        texts = table.column("text")
+        place = {pair: i for i, pair in enumerate(zip(table.column("doc_id").to_pylist(), table.column("th").to_pylist(), strict=True))}
+        for m in members.to_pylist():
+            text = texts[place[m["doc_id"], m["th"]]].as_py()
+            for other in range(m["parts"]):
+                x, y = min(m["part"], other), max(m["part"], other)
+                out.append((m["block"], x, y, -1 if x == y else int(m["part"] > other), m["doc_id"], m["s1"], m["s2"], text))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+    cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in TILE_ROWS.split(", ")])
 
 
 def _compare(width: int, percent: int):
+    """(a, b): a spanning forest of the verified links of a tile, by the names of sets."""
+
     def run(table):
         parts, lens = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for _, _, values, offsets in _text_chunks(table, width):
             lens.append(np.diff(offsets))
             parts.append(values)
-        doc, side = np.asarray(table.column("doc_id")), np.asarray(table.column("side"))
+        side = np.asarray(table.column("side"))
         label = link(np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(lens))], percent, side if (side >= 0).any() else None)
-        least = np.full(len(doc), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, doc)
-        b = least[label]
-        return pa.Table.from_arrays([pa.array(doc[b != doc]), pa.array(b[b != doc])], ["a", "b"])
+        doc, s1, s2 = (np.asarray(table.column(c)) for c in ("doc_id", "s1", "s2"))
+        rows = np.stack([doc.view(U) ^ U(1 << 63), s1.view(U), s2.view(U)], axis=1).astype(">u8").tobytes()
+        names = [rows[24 * i : 24 * i + 24] for i in range(len(doc))]
+        edges = [(names[i], names[j]) for i, j in enumerate(label.tolist()) if i != j]
+        return pa.Table.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], ["a", "b"])
 
     return run
 
 
+def _name(doc: Column) -> Column:
+    """A set's name: its least doc_id, so that names sort by it, and both sums."""
+    digits = lambda c: F.lpad(F.hex(c), 16, "0")
+    return F.unhex(F.concat(digits(doc.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), digits(F.col("s1")), digits(F.col("s2"))))
+
+
+def _doc_of(name: Column) -> Column:
+    return (F.conv(F.hex(F.substring(name, 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
+
 def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id.
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, and th, xxhash64 of the text.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets;
     component_id is the least doc_id that links reach.
@@ -387,32 +483,38 @@ def jaccard_join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFram
     Defined cases: null, empty or wordless texts have an empty set and link with nothing; a row
     with a null doc_id links with nothing and has a null component_id; rows that share a doc_id
     are judged each by its own text; an empty table gives an empty result; other columns of docs
-    are ignored.  percent must be 50 to 100.
+    are ignored, whatever their names.  percent must be 50 to 100.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     n = next_prime(text_buckets(docs))
-    info = cut(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, s1 long, s2 long"))
-    sets = info.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    bucket = F.coalesce(F.pmod("doc_id", F.lit(n)), F.lit(0)).cast("long")
-    dealt = docs.withColumn("db", bucket).groupBy("db")  # one exchange of the texts for all steps
+    # one exchange of the texts for all steps; neither an id nor a text that many rows have makes a bucket heavy
+    dealt = docs.withColumn("db", F.pmod(F.xxhash64("doc_id", "th"), F.lit(n)).cast("long")).groupBy("db")
     counted = dealt.applyInArrow(_send_shingles(width, n), BLOCKS).groupBy("key").applyInArrow(_count, BLOCKS)
-    sent = dealt.cogroup(counted.withColumnRenamed("key", "db").groupBy("db")).applyInArrow(_send_prefixes(width, percent, n), BLOCKS)
-    blocks = components(sent.groupBy("key").applyInArrow(_meet, "a long, b long"))
-    members = sets.join(blocks.withColumnRenamed("a", "rep"), "rep", "left").withColumn("block", F.coalesce("b", "rep"))
-    sized = members.groupBy("block").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).where("size > 1")
+    sent = cut(dealt.cogroup(counted.withColumnRenamed("key", "db").groupBy("db")).applyInArrow(_send_points(width, percent, n), BLOCKS))
+    rows = sent.where("key < 0").mapInArrow(_sets, "doc_id long, db long, n_shingles long, s1 long, s2 long, th long")
+    full = rows.where("n_shingles > 0 and doc_id is not null")
+    same = ["n_shingles", "s1", "s2"]
+    sets = full.groupBy(*same).agg(F.min(F.struct("doc_id", "db", "th")).alias("least"), (F.count("*") > 1).alias("several"))
+
+    blocks = components(sent.where("key >= 0").groupBy("key").applyInArrow(_meet(percent), "a long, b long"))
+    nodes = blocks.select(F.col("a").alias("s1"), F.col("b").alias("block")).unionByName(blocks.select(F.col("b").alias("s1"), F.col("b").alias("block")).distinct())
+    members = sets.join(nodes, "s1").withColumn("salt", F.pmod("s2", F.lit(SALT)).cast("int"))
     # a tile compares the two parts of a large block that it is named by; all others are one tile
     parts = F.ceil(F.greatest(F.col("size") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int")
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(0).cast("int")
-    members = members.join(sized, "block").withColumn("parts", parts).withColumn("part", part)
-    members = members.select(F.pmod("rep", F.lit(n)).alias("db"), "rep", "s1", "block", "parts", "part")
-    tiles = dealt.cogroup(members.groupBy("db")).applyInArrow(_deal(width), TILE_ROWS)
-    links = tiles.groupBy("block", "x", "y").applyInArrow(_compare(width, percent), "a long, b long")
-    classes = components(links).select(F.col("a").alias("rep"), F.col("b").alias("least"))
-    named = sets.join(classes, "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("least", "rep").alias("component_id"))
-    # documents of the empty set match no row of `named`
-    found = info.join(named, ["n_shingles", "s1", "s2"], "left")
+    sized = members.groupBy("block").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).select("block", parts.alias("parts"))
+    sized = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    members = members.join(sized, ["block", "salt"])
+    members = members.select("least.db", "least.doc_id", "least.th", "s1", "s2", "block", "parts", F.pmod(F.xxhash64("s1", "s2"), "parts").cast("int").alias("part"))
+    tiles = dealt.cogroup(members.groupBy("db")).applyInArrow(_deal, TILE_ROWS)
+    links = tiles.groupBy("block", "x", "y").applyInArrow(_compare(width, percent), "a binary, b binary")
+    classes = components(links)
+
+    found = sets.withColumn("a", _name(F.col("least.doc_id"))).join(classes, "a", "left").where("several or b is not null")
+    found = found.select(*same, F.coalesce(_doc_of(F.col("b")), F.col("least.doc_id")).alias("component_id"))
+    # a set that many rows have is answered once a group
+    answers = full.select("db", *same).distinct().join(found, same)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", own.alias("component_id"))
+    return rows.join(answers, ["db", *same], "left").select("doc_id", "n_shingles", own.alias("component_id"), "th")
