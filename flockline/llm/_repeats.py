@@ -3,7 +3,8 @@
 A window is N consecutive units (bytes or words) of one document.  A unit goes when some window
 that covers it also starts in a document with a smaller id.  Steps, all in one lazy plan:
 
-0. *Copies.*  Of equal texts the one with the least id stands for all in steps 1 to 4.
+0. *Copies.*  Of equal texts the one with the least id stands for all in steps 1 to 4; texts are
+   equal where their SHA-256 is.
 1. *Anchors.*  Each document's windows choose their least K-gram (winnowing).  Equal windows
    choose equal anchors, so a repeated window is always seen through a shared anchor.
 2. *Shared anchors.*  Anchor hashes meet by bucket; those of two documents or more are reported
@@ -12,18 +13,20 @@ that covers it also starts in a document with a smaller id.  Steps, all in one l
 3. *Contexts.*  Each document sends the N-K units before and N units after its shared anchors,
    again once a group for equal contexts; the others are settled there and then.
 4. *Resolution*, by the operator's own method: which windows of a context start in a smaller
-   document.
-5. *Application* of the spans to the documents.
+   document.  What goes back to a group is the operator's choice, too: spans, or the passages.
+5. *Application* to the documents.
 
 Rows travel as compressed blocks a bucket.  The number of buckets follows the bytes of text, so a
 group of a grouped step stays near GROUP_BYTES.  The documents are dealt by id in one exchange
-that steps 1, 3 and 5 share.  Hashes only propose: every removal compares the units themselves.
+that steps 1, 3 and 5 share; rows without an id by their text.  Hashes only propose: every removal
+but that of a copy compares the units themselves.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -181,9 +184,9 @@ def _shared(n: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def settle_equal(key: np.ndarray, doc: np.ndarray, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of contexts with equal keys and, compared byte by byte, equal bytes: (settled, kept) masks.
+    """Of contexts with equal keys and, compared byte by byte, equal bytes: (settled mask, head).
 
-    Settled: an equal context has a smaller document.  Kept: neither settled nor a mere repeat.
+    Settled: an equal context, the head, has a smaller document.
     """
     order = np.lexsort((doc, key))
     first = kn.new_groups(key[order])
@@ -196,10 +199,10 @@ def settle_equal(key: np.ndarray, doc: np.ndarray, flat: np.ndarray, start: np.n
         same = flat[kn.ranges(start[part], length[part])] == flat[kn.ranges(start[rep[part]], length[part])]
         if len(part):
             settled[part] = np.logical_and.reduceat(same, np.r_[0, np.cumsum(length[part])[:-1]])
-    return settled, ~settled
+    return settled, rep
 
 
-def _spans(n: int, doc, tag, start, end) -> tuple[list[int], list[bytes]]:
+def spans_of(n: int, doc, tag, start, end) -> tuple[list[int], list[bytes]]:
     keys, blocks = [], []
     for db, cols in kn.split_rows(doc_bucket(doc, n), doc, tag, start.astype(np.uint32), end.astype(np.uint32)):
         keys.append(-db - 1)
@@ -210,7 +213,29 @@ def _spans(n: int, doc, tag, start, end) -> tuple[list[int], list[bytes]]:
 CONTEXT_KINDS = (np.int64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint8)
 
 
-def _contexts(kind: str, window: int, k: int, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+@dataclass
+class Stretches:
+    """Repeated stretches of documents: units [begin, end), bytes [first, last) of some array, and
+    the greatest `after` of which it is known that all their windows start in it or in smaller ones."""
+
+    doc: np.ndarray
+    tag: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    after: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    def of(self, rows: np.ndarray) -> Stretches:
+        return Stretches(*(getattr(self, f.name)[rows] for f in fields(self)))
+
+    @staticmethod
+    def joined(parts: list[Stretches]) -> Stretches:
+        return Stretches(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Stretches)))
+
+
+def _contexts(kind: str, n: int, resolver) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    window, k = resolver.window, resolver.gram
     reach = window - k
 
     def run(docs, found):
@@ -246,10 +271,10 @@ def _contexts(kind: str, window: int, k: int, n: int) -> Callable[[pa.Table, pa.
             return _table([], [])
         row, at, bucket, left, right, start, length, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        settled, kept = settle_equal(whole, texts.doc[row], texts.data, start, length)
-        r = row[settled]
-        keys, blocks = _spans(n, texts.doc[r], texts.tag[r], at[settled] - left[settled], at[settled] + right[settled])
-        for to, (i,) in kn.split_rows(bucket[kept].astype(np.int64), np.flatnonzero(kept)):
+        settled, head = settle_equal(whole, texts.doc[row], texts.data, start, length)
+        stretch = Stretches(texts.doc[row], texts.tag[row], (at - left).astype(np.int64), (at + right).astype(np.int64), texts.doc[row[head]], start, start + length)
+        keys, blocks = resolver.reported(n, stretch.of(settled), texts.data)
+        for to, (i,) in kn.split_rows(bucket[~settled].astype(np.int64), np.flatnonzero(~settled)):
             body = texts.data[kn.ranges(start[i], length[i].astype(np.int64))]
             keys.append(to)
             blocks.append(kn.pack(texts.doc[row[i]], texts.tag[row[i]], at[i], left[i], length[i].astype(np.uint32), body))
@@ -277,25 +302,28 @@ def _resolved(kind: str, n: int, resolver) -> Callable[[pa.Table], pa.Table]:
             whole[a:b] = kn.mix64(kn.span_hash(prefix, o, units.offsets[1:])) + left[a:b].astype(U)
             gram[a:b] = kn.span_hash(prefix, o + left[a:b], o + left[a:b] + resolver.gram)
             right[a:b] = np.diff(units.offsets) - left[a:b]
-        settled, lone = settle_equal(whole, doc, flat, start, length)
+        settled, head = settle_equal(whole, doc, flat, start, length)
+        lone = ~settled
         _, group = np.unique(gram, return_inverse=True)
         least = np.full(len(doc), np.iinfo(np.int64).max)
         np.minimum.at(least, group[lone], doc[lone])
         several = np.bincount(group[lone], doc[lone] != least[group[lone]], minlength=len(doc)) > 0
         todo = np.flatnonzero(lone & several[group])
         todo = todo[np.argsort(group[todo], kind="stable")]
-        out = [(doc[settled], tag[settled], (at - left)[settled], (at + right)[settled])]
+        out = [Stretches(doc, tag, at - left, at + right, doc[head], start, start + length).of(settled)]
         begins = np.r_[np.flatnonzero(kn.new_groups(group[todo])), len(todo)]
         a = 0
         while a < len(begins) - 1:
             b = max(a + 1, int(np.searchsorted(begins, begins[a] + CONTEXTS, "right")) - 1)
             rows = todo[begins[a] : begins[b]]
-            low, high = resolver(group[rows], doc[rows], left[rows], right[rows], flat, start[rows], length[rows])
+            low, high, after = resolver(group[rows], doc[rows], left[rows], right[rows], flat, start[rows], length[rows])
             hit = low >= 0
-            rows = rows[hit]
-            out.append((doc[rows], tag[rows], at[rows] - high[hit], at[rows] - low[hit] + resolver.window))
+            rows, low, high, after = rows[hit], low[hit], high[hit], after[hit]
+            # the bytes of a stretch within its context
+            first, last = resolver.bytes_of(flat, start[rows], length[rows], left[rows] - high, left[rows] - low + resolver.window)
+            out.append(Stretches(doc[rows], tag[rows], at[rows] - high, at[rows] - low + resolver.window, after, first, last))
             a = b
-        return _table(*_spans(n, *(np.concatenate(x) for x in zip(*out, strict=True))))
+        return _table(*resolver.reported(n, Stretches.joined(out), flat))
 
     return run
 
@@ -312,14 +340,16 @@ def classes(group: np.ndarray, key: np.ndarray, doc: np.ndarray, usable: np.ndar
     return order[later], rep[later]
 
 
-def windows_seen(matrix: np.ndarray, prefix: np.ndarray, reach: int, window: int, doc, left, right, group_at, key_at) -> tuple[np.ndarray, np.ndarray]:
-    """Of each context, the least and greatest t so that its window t units before the anchor repeats.
+def windows_seen(matrix: np.ndarray, prefix: np.ndarray, reach: int, window: int, doc, left, right, group_at, key_at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each context, the least and greatest t so that its window t units before the anchor repeats,
+    and the greater of the least documents that those two windows start in.
 
     group_at(t) and key_at(t) give what equal windows share.  Every match is compared unit by unit;
     where a hash has misled, that t is decided anew by the units alone.  All windows of a context
     hold its anchor, so the repeated ones cover one stretch.
     """
     low, high = np.full(len(doc), -1, np.int64), np.full(len(doc), -1, np.int64)
+    lowest, highest = doc.copy(), doc.copy()
     for t in range(reach + 1):
         usable = (left >= t) & (right >= window - t)
         if np.count_nonzero(usable) < 2:
@@ -329,9 +359,10 @@ def windows_seen(matrix: np.ndarray, prefix: np.ndarray, reach: int, window: int
         if len(later) and not np.array_equal(matrix[later, cols], matrix[rep, cols]):
             _, exact = np.unique(matrix[:, cols], axis=0, return_inverse=True)
             later, rep = classes(np.zeros(len(doc), np.int64), exact.ravel(), doc, usable)
-        low[later[low[later] < 0]] = t
-        high[later] = t
-    return low, high
+        new = low[later] < 0
+        low[later[new]], lowest[later[new]] = t, doc[rep[new]]
+        high[later], highest[later] = t, doc[rep]
+    return low, high, np.maximum(lowest, highest)
 
 
 def row_prefix(values: np.ndarray) -> np.ndarray:
@@ -360,7 +391,7 @@ def covered(texts: Texts, found: pa.Table):
         yield s[a:b][new], top[np.r_[np.flatnonzero(new)[1:] - 1, b - a - 1]]
 
 
-def _applied(result, schema: pa.Schema):
+def _applied(resolver, result, schema: pa.Schema):
     """result(bytes of a text, spans or None, whether it is a copy) gives the columns after doc_id."""
 
     def run(docs, found):
@@ -368,7 +399,7 @@ def _applied(result, schema: pa.Schema):
         if docs.num_rows:
             texts = Texts(docs)
             copy = texts.copies(found.filter(found.column("crc").is_valid()))
-            spans = covered(texts, found.filter(found.column("block").is_valid()))
+            spans = resolver.located(texts, found.filter(found.column("block").is_valid()), copy)
             view, offsets = memoryview(np.ascontiguousarray(texts.data)), texts.offsets.tolist()
             rows = [(d if h else None, *result(view[a:b], s, c)) for d, h, a, b, s, c in zip(texts.doc.tolist(), texts.has.tolist(), offsets[:-1], offsets[1:], spans, copy.tolist(), strict=True)]
         columns = list(zip(*rows, strict=True)) or [()] * len(schema)
@@ -377,21 +408,29 @@ def _applied(result, schema: pa.Schema):
     return run
 
 
-def remove_repeats(docs: DataFrame, kind: str, window: int, k: int, resolver, result, schema: str, arrow_schema: pa.Schema) -> DataFrame:
+def copies_of(docs: DataFrame) -> DataFrame:
+    """db, copy and crc of the rows of docs (doc_id, text, db) whose text has a smaller id, too."""
+    names = cut(docs.where("doc_id is not null and text is not null").select("db", "doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), F.unhex(F.sha2("text", 256)).alias("name")))
+    # a text that many documents have meets once a group
+    led = names.groupBy("db", "name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    first = led.groupBy("name").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").drop("last")
+    known = led.join(first, "name").select("db", "name", "first")
+    return names.join(known, ["db", "name"]).where("doc_id > first").select("db", F.col("doc_id").alias("copy"), "crc")
+
+
+def remove_repeats(docs: DataFrame, kind: str, resolver, result, schema: str, arrow_schema: pa.Schema) -> DataFrame:
     """docs (doc_id, text) through the five steps; result() makes each document's columns."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = next_prime(text_buckets(docs))
-    bucket = F.coalesce(F.pmod("doc_id", F.lit(n)), F.lit(0)).cast("long")
-    names = cut(docs.where("doc_id is not null and text is not null").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), F.unhex(F.sha2("text", 256)).alias("name")))
-    first = names.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    copies = names.join(first, "name").where("doc_id > first").select(bucket.alias("db"), F.col("doc_id").alias("copy"), F.col("crc").alias("crc"))
-    dealt = docs.withColumn("db", bucket).groupBy("db")
+    docs = docs.withColumn("db", F.coalesce(F.pmod("doc_id", F.lit(n)), F.pmod(F.xxhash64("text"), F.lit(n))).cast("long"))
+    copies = copies_of(docs)
+    dealt = docs.groupBy("db")
     back = lambda df: df.withColumn("db", -F.col("key") - 1)
-    anchors = dealt.cogroup(copies.groupBy("db")).applyInArrow(_anchors(kind, window, k, n), BLOCKS)
+    anchors = dealt.cogroup(copies.groupBy("db")).applyInArrow(_anchors(kind, resolver.window, resolver.gram, n), BLOCKS)
     shared = anchors.groupBy("key").applyInArrow(_shared(n), BLOCKS)
-    contexts = dealt.cogroup(back(shared).groupBy("db")).applyInArrow(_contexts(kind, window, k, n), BLOCKS)
-    spans = contexts.groupBy("key").applyInArrow(_resolved(kind, n, resolver), BLOCKS)
-    found = back(spans).select("db", "block", F.lit(None).cast("long").alias("copy"), F.lit(None).cast("long").alias("crc"))
+    contexts = dealt.cogroup(back(shared).groupBy("db")).applyInArrow(_contexts(kind, n, resolver), BLOCKS)
+    reports = contexts.groupBy("key").applyInArrow(_resolved(kind, n, resolver), BLOCKS)
+    found = back(reports).select("db", "block", F.lit(None).cast("long").alias("copy"), F.lit(None).cast("long").alias("crc"))
     found = found.unionByName(copies.withColumn("block", F.lit(None).cast("binary")))
-    return dealt.cogroup(found.groupBy("db")).applyInArrow(_applied(result, arrow_schema), schema)
+    return dealt.cogroup(found.groupBy("db")).applyInArrow(_applied(resolver, result, arrow_schema), schema)

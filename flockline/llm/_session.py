@@ -32,12 +32,14 @@ def text_buckets(docs: DataFrame, text: str = "text", group_bytes: int = GROUP_B
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share.
 
-    The cluster names it in spark.checkpoint.dir; a temporary one is set only where that is unset
-    and nothing else has set one, as in tests on one machine.
+    The cluster names it in spark.checkpoint.dir; a temporary one is set only where that is unset,
+    nothing else has set one, and all runs on one machine, as in tests.  Elsewhere it must be named.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="flockline-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -48,6 +50,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    have = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def same_columns(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns that docs has, by name, whatever characters they hold."""
+    return out.select(*["`{}`".format(c.replace("`", "``")) for c in docs.columns])
+
+
 _shipped: set[str] = set()
 
 

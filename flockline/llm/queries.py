@@ -58,7 +58,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
-    return jaccard_join(_docs(spark, sf_dir), 3, 90)
+    return jaccard_join(_docs(spark, sf_dir), 3, 90).drop("th")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

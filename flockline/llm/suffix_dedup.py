@@ -120,8 +120,19 @@ class SuffixSort:
 
 
 class ByteResolver:
+    """Windows by suffix sort; the spans go back."""
+
     window, gram = WINDOW, GRAM
 
+    def reported(self, n, stretches, flat):
+        return rp.spans_of(n, stretches.doc, stretches.tag, stretches.begin, stretches.end)
+
+    def bytes_of(self, flat, start, length, begin, end):
+        return start + begin, start + end
+
+    def located(self, texts, found, copy):
+        return rp.covered(texts, found)
+
     def __call__(self, group, doc, left, right, flat, start, length):
         m = len(doc)
         offset = np.arange(REACH + WINDOW, dtype=np.int32)[None, :] - (REACH - left)[:, None].astype(np.int32)
@@ -168,4 +179,4 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     judged each, against smaller ids only; an empty table gives an empty result; other columns of
     docs are ignored, whatever their names.
     """
-    return rp.remove_repeats(docs, "bytes", WINDOW, GRAM, ByteResolver(), _result, SCHEMA, ARROW)
+    return rp.remove_repeats(docs, "bytes", ByteResolver(), _result, SCHEMA, ARROW)

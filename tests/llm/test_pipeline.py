@@ -1,4 +1,5 @@
 import corpus_pipeline
+from flockline.llm import stages
 from tests.llm import brute
 
 
@@ -20,3 +21,16 @@ def test_stages_and_run(spark, sf_dir):
     assert counts == sorted(counts, reverse=True) and counts[0] > counts[2] > 0.7 * counts[0]
     out = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, step.collect()))
+
+
+def test_near_duplicates_go_by_row(spark, docs_of):
+    a, b, c, d = (" ".join(f"{x}{j}" for j in range(30)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, c), (7, c + " more"), (8, d), (8, d + " end"), (None, a), (None, a), (9, None), (9, ""), (9, "")]
+    docs = docs_of(rows, "key string, block string, db int, rep long")
+    kept = stages.near_duplicates(spark, docs.withColumnRenamed("rep", "th").withColumnRenamed("db", "component_id"), "")
+    assert kept.columns == ["doc_id", "text", "key", "block", "component_id", "th"]
+    got = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    eight = next(t for i, t in got if i == "8")
+    assert eight in (d, d + " end")
+    assert got == sorted((str(i), str(t)) for i, t in [(1, a), (5, b), (6, c), (8, eight), (None, a), (None, a), (9, None), (9, ""), (9, "")])
+    assert stages.near_duplicates(spark, docs.where("false"), "").collect() == []

@@ -76,13 +76,106 @@ def test_misleading_window_hashes_are_found_out():
     matrix[20:30] = matrix[:10]
     doc = np.arange(40)
     full = np.full(40, 50)
-    low, high = rp.windows_seen(matrix, None, 26, 50, doc, np.full(40, 26), full, lambda t: np.zeros(40, np.int64), lambda t: np.zeros(40, np.uint64))
+    low, high, after = rp.windows_seen(matrix, None, 26, 50, doc, np.full(40, 26), full, lambda t: np.zeros(40, np.int64), lambda t: np.zeros(40, np.uint64))
     assert (high[20:30] == 26).all() and (low[20:30] == 0).all() and (high[:20] == -1).all() and (high[30:] == -1).all()
+    assert (after[20:30] == np.arange(10)).all()
 
 
-def test_automaton_finds_phrases_at_their_place():
-    found = ph.locate([" a b ", " b c "], [(" a b c ", 4), (" a b c ", 6), (" aa b c ", 4)])
-    assert found.tolist() == [0, 1, -1]
+def read(phrases, *texts):
+    data, woff = [b"".join(texts)], np.r_[0, np.cumsum([len(t) for t in texts])]
+    flat = np.frombuffer(data[0], np.uint8)
+    starts, ends, offsets = kn.words(flat, woff)
+    return phrases.read(kn.gram_hashes(kn.word_hashes(flat, starts, ends), ph.SPELL), offsets)
+
+
+def test_automaton_finds_phrases_at_their_place(monkeypatch):
+    monkeypatch.setattr(ph, "WINDOW", 4)
+    abcd, bcde, cdef = (list(map(bytes, zip(x))) for x in (b"abcd", b"bcde", b"cdef"))
+    phrases = ph.Phrases([(abcd, 1), (bcde, 2), (cdef, 3)])
+    text, begin, end = read(phrases, b"x a  b c d y a b c", b" d a\tb\nc d e")
+    assert (begin.tolist(), end.tolist()) == ([1, 10], [3, 13])  # not from one text to the next
+    assert [x.tolist() for x in phrases.occurrences(text[10:13], 9)] == [[0, 1], [4, 5], [0, 1]]
+    assert [x.tolist() for x in phrases.occurrences(text[10:13], 2)] == [[0], [4], [0]]
+
+
+def test_fewest_spans_cover_the_same():
+    rng = random.Random(2)
+    for _ in range(300):
+        spans = [(b, b + rng.randint(1, 12)) for b in (rng.randrange(60) for _ in range(rng.randint(1, 25)))]
+        few = ph.fewest(*(np.array(x) for x in zip(*spans, strict=True)))
+        cover = lambda some: {i for s, e in some for i in range(s, e)}
+        assert cover(spans[j] for j in few) == cover(spans) and len(set(few)) == len(few)
+    assert len(ph.fewest(np.arange(100), np.arange(100) + 50)) < 6
+
+
+def test_words_of_equal_hashes_are_told_apart(docs_of, monkeypatch):
+    """All words of one length are one letter: the words themselves decide."""
+    monkeypatch.setattr(kn, "word_hashes", lambda data, starts, ends: kn.mix64((ends - starts).astype(np.uint64)))
+    words = [[bytes([97 + (i * j) % 26]) for i in range(60)] for j in (1, 3)]
+    phrases = ph.Phrases([(words[0], 1), (words[1], 5)])
+    _, _, found = phrases.occurrences(read(phrases, b" ".join(words[1]))[0], 9)
+    assert found.tolist() == [0] and phrases.confirmed(0, 9, words[1]) and phrases.confirmed(0, 3, words[0]) and not phrases.confirmed(0, 3, words[1])
+
+
+def test_automata_decide(docs_of, monkeypatch):
+    """Without an automaton no occurrence has a place; with many small ones all have."""
+    rows = corpus(1)
+    want = sorted((str(i), *rest) for i, *rest in brute.remove_repeats(rows, True))
+    run = lambda: [(str(r.doc_id), r[1], r.n_removed, len(r.spans), r.kept_sha256) for r in local_groups(rows)]
+    monkeypatch.setattr(ph, "PHRASES", 3)
+    assert sorted(run()) == want
+    monkeypatch.setattr(ph.Phrases, "occurrences", lambda self, text, doc: (np.zeros(0, np.int64),) * 3)
+    copies = {t for _, t in rows if t and sum(t == u for _, u in rows) > 1}
+    assert {r.n_removed for r, (_, t) in zip(local_groups(rows), rows, strict=True) if t not in copies} == {0}
+
+
+def local_groups(rows):
+    """phrase_dedup's rows in the order of `rows`, by its own steps in this process."""
+    import pyarrow as pa
+
+    n = 7
+    resolver = ph.WordResolver()
+    db = [(i if i is not None else 0) % n for i, _ in rows]
+    first = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            first[t] = min(first.get(t, i), i)
+    table = lambda cols, schema: pa.table(dict(zip([f.name for f in schema], cols, strict=True)), schema=schema)
+    docs_schema, found_schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), pa.schema([("block", pa.binary()), ("copy", pa.int64()), ("crc", pa.int64())])
+    import zlib
+
+    groups = {g: [j for j in range(len(rows)) if db[j] == g] for g in range(n)}
+    docs = {g: table([[rows[j][0] for j in js], [rows[j][1] for j in js]], docs_schema) for g, js in groups.items()}
+    copy = {g: [(rows[j][0], zlib.crc32(rows[j][1].encode())) for j in js if rows[j][0] is not None and rows[j][1] is not None and first[rows[j][1]] < rows[j][0]] for g, js in groups.items()}
+    copies = {g: table([[None] * len(c), [x for x, _ in c], [y for _, y in c]], found_schema) for g, c in copy.items()}
+
+    def grouped(tables):
+        out = {}
+        for t in tables:
+            for k, b in zip(t.column("key").to_pylist(), t.column("block").to_pylist(), strict=True):
+                out.setdefault(k, []).append(b)
+        return {k: pa.table({"key": pa.array([k] * len(b), pa.int64()), "block": pa.array(b, pa.binary())}) for k, b in out.items()}
+
+    back = lambda shuffled, g: shuffled.get(-g - 1, pa.table({"key": pa.array([], pa.int64()), "block": pa.array([], pa.binary())}))
+    anchors = grouped(rp._anchors("words", ph.WINDOW, ph.GRAM, n)(docs[g], copies[g]) for g in range(n))
+    shared = grouped(map(rp._shared(n), anchors.values()))
+    contexts = grouped(rp._contexts("words", n, resolver)(docs[g], back(shared, g)) for g in range(n))
+    reports = grouped(map(rp._resolved("words", n, resolver), contexts.values()))
+    from types import SimpleNamespace
+
+    out = {}
+    for g in range(n):
+        blocks = back(reports, g).column("block").to_pylist()
+        found = pa.concat_tables([table([blocks, [None] * len(blocks), [None] * len(blocks)], found_schema), copies[g]])
+        result = rp._applied(resolver, ph._result, ph.ARROW)(docs[g], found).to_pylist()
+        for j, r in zip(groups[g], result, strict=True):
+            out[j] = r
+
+    class Row(SimpleNamespace):
+        def __getitem__(self, i):
+            return list(vars(self).values())[i]
+
+    return [Row(**out[j]) for j in range(len(rows))]
 
 
 def test_anchors_never_miss_a_repeat():
@@ -129,6 +222,50 @@ def test_jaccard_large_block_in_tiles(docs_of, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute.classes(rows, 3, 90))
 
 
+def test_jaccard_hot_shingles_in_parts(docs_of, monkeypatch):
+    from flockline.llm import jaccard_join as jj
+
+    monkeypatch.setattr(jj, "HOT", 4)
+    rows = near_copies(random.Random(10), 40, 120)
+    got = jaccard_join(docs_of(rows), 3, 90).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute.classes(rows, 3, 90))
+
+
+def near_copies(rng, n, words):
+    rows = []
+    for i in range(n):
+        ws = [f"w{i}" for i in range(words)]
+        for _ in range(rng.randint(0, 4)):
+            ws[rng.randrange(words)] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    return rows
+
+
+@pytest.mark.parametrize("words", [40, 400, 4000])
+def test_shared_passages_tie_no_blocks(docs_of, monkeypatch, words):
+    """A ring of documents, each half shared with one neighbour: none link, and none get to verification."""
+    from flockline.llm import jaccard_join as jj
+
+    passage = lambda i: " ".join(f"p{i}w{j}" for j in range(words // 2))
+    n = 30
+    rows = [(i, f"{passage(i)} {passage((i + 1) % n)}") for i in range(n)]
+    seen = []
+    monkeypatch.setattr(jj, "components", lambda edges, real=jj.components: (seen.append(edges.count()), real(edges))[1])
+    for width, percent in ((3, 90), (5, 80)):
+        assert all(r.component_id == r.doc_id for r in jaccard_join(docs_of(rows), width, percent).collect())
+    assert seen == [0, 0, 0, 0]
+
+
+def test_rows_of_one_id_are_judged_each(docs_of):
+    """Two texts of one id, each with a near copy of another id; equal rows; texts of one set."""
+    a, b, c = ([f"{x}{j}" for j in range(60)] for x in "abc")
+    near = lambda ws: " ".join([*ws[:59], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a)), (3, near(b)), (9, " ".join(c)), (9, " ".join(c)), (8, "  ".join(c).upper()), (-4, near(c))]
+    got = jaccard_join(docs_of(rows), 3, 90).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute.classes(rows, 3, 90))
+    assert sorted(r.component_id for r in got) == [-4, -4, -4, -4, 3, 3, 5, 5]
+
+
 def test_jaccard_empty_table(docs_of):
     assert jaccard_join(docs_of([(1, "a")]).where("false")).collect() == []
 
