@@ -8,7 +8,7 @@ values get equal pseudonyms in every document, different values different ones,
 lengths and check digits stay right.  Two Feistel networks do it:
 
 * over characters: halves of a value shift each other, digit by digit modulo 10 and letter by
-  letter modulo 26, by a stream from SHA-256 of key, round and the other half;
+  letter modulo 26, by a stream from one SHA-512 a round, of key, round and the other half;
 * over a number range a * b (dates, social security numbers, addresses): a number is a pair (L, R)
   with L below a and R below b, which shift each other modulo a and b.
 
@@ -17,7 +17,8 @@ Kinds, in the order in which they are tried:
 ====== =============================================== =========================================
 kind   valid if                                        permuted
 ====== =============================================== =========================================
-email  local part, domain with a dot                   letters and digits of the local part
+email  local part of 64 characters at most, domain of  letters and digits of the local part
+       2 to 127 labels
 iban   modulo 97 is 1                                  characters after the check digits, which
                                                        are computed anew
 ip     four octets to 255                              the 32-bit number
@@ -33,20 +34,30 @@ Numbers of tokens (IBAN, card) may have other digits or capitals beside them, so
 the whole run of tokens and every part of it, from token to token, is validated.  Where valid parts
 overlap, IBANs of their country's length come first, then cards in usual groups, social security
 numbers and dates, then other IBANs and phones, then other cards; of one rank the longest, then the
-first.
+first.  A run is settled STRETCH tokens at a time: of parts that overlap where one stretch ends, the
+one that begins in the earlier stretch goes first.  Everything here is linear in the text: quantifiers
+are bounded or possessive, so that no text, however long, exhausts the stack.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "flockline-demo-key"
+from ._session import fresh
+
+#: Set a key of your own: this one is public, and keys are visible in query plans.
+KEY = os.environ.get("FLOCKLINE_PII_KEY", "flockline-demo-key")
 CHAR_ROUNDS, RANGE_ROUNDS = 8, 10
+LONGEST = 64  # characters that feistel_chars takes
+STRETCH = 256
+LENGTHS = 10, 43  # of a valid part of a run: a date has the fewest characters, a spaced IBAN the most
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -55,14 +66,16 @@ PATTERNS = {
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
 }
 # runs of tokens that may hold an IBAN or a card; a token is not the begin of an address or a dotted number
-_TOKEN = rf"(?![\w.%+-]++@|{_OCTET}(?:\.{_OCTET}){{3}}|\d{{2}}[./]\d{{2}}[./]\d{{4}}|\d{{3}}\.\d{{3}}[ .-]\d{{4}})"
+_TOKEN = rf"(?![\w.%+-]{{1,64}}+@|{_OCTET}(?:\.{_OCTET}){{3}}|\d{{2}}[./]\d{{2}}[./]\d{{4}}|\d{{3}}\.\d{{3}}[ .-]\d{{4}})"
 _CAPITALS = rf"{_TOKEN}[A-Z0-9]++(?![a-z])"
 _DIGITS = rf"{_TOKEN}\d{{1,19}}+(?!\w|\.\d|-(?!\d))"
 RUNS = {
-    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{8}}){_CAPITALS}(?:[ -]{_CAPITALS})*+",
+    "iban": rf"(?=[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{8}})(?<![A-Za-z0-9]){_CAPITALS}(?:[ -]{_CAPITALS})*+",
     "card": rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}}){_DIGITS}(?:[ -]{_DIGITS})*+",
 }
-PATTERN = "|".join((PATTERNS | RUNS).values())
+# most characters begin no candidate: the looks ahead come before the looks behind
+NUMBERS = f"{RUNS['iban']}|(?=[0-9+(])(?:{'|'.join((PATTERNS | RUNS)[k] for k in ('ip', 'ssn', 'date', 'phone', 'card'))})"
+PATTERN = f"{PATTERNS['email']}|{NUMBERS}"
 PIECES = "array<struct<text:string,number:boolean>>"
 WIDEST = 19  # tokens of a card of single digits
 USUAL_CARD = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1(?:\d|\d{4}(?:\1\d{1,3})?)|\d{4}([ -])\d{6}\2\d{4,5})$"
@@ -82,19 +95,25 @@ def _number(hex_: Column) -> Column:
 
 def _shifted(half: Column, other: Column, key: str, round_: Column) -> Column:
     """Each letter and digit of an array of characters moved on in its class; the rest stays."""
-    stream = lambda i: _number(F.substring(F.sha2(F.concat_ws("|", F.lit(key), round_.cast("string"), i.cast("string"), F.array_join(other, "")), 256), 1, 8))
+    # 128 hexadecimal digits, four for each of 32 characters
+    digest = F.sha2(F.concat_ws("|", F.lit(key), round_.cast("string"), F.array_join(other, "")), 512)
+
+    def moved(h: Column) -> Column:
+        def move(c: Column, i: Column) -> Column:
+            code, step = F.ascii(c), _number(F.substr(h, 4 * i + 1, F.lit(4)))
+            turn = lambda low, size: F.char((F.lit(low) + (code - low + step) % size).cast("long"))
+            return F.when(code.between(48, 57), turn(48, 10)).when(code.between(97, 122), turn(97, 26)).when(code.between(65, 90), turn(65, 26)).otherwise(c)
 
-    def move(c: Column, i: Column) -> Column:
-        code = F.ascii(c)
-        turn = lambda low, size: F.char((F.lit(low) + (code - low + stream(i)) % size).cast("long"))
-        return F.when(code.between(48, 57), turn(48, 10)).when(code.between(97, 122), turn(97, 26)).when(code.between(65, 90), turn(65, 26)).otherwise(c)
+        return F.transform(half, move)
 
-    return F.transform(half, move)
+    return F.get(F.transform(F.array(digest), moved), F.lit(0))  # hashed once a round
 
 
 def feistel_chars(chars: Column, key: str) -> Column:
     """A permutation of arrays of one layout of classes: lower-case, upper-case, digit, other.
 
+    Of LONGEST characters at most.
+
     The halves keep their places, so their layouts need not be alike: each round shifts one half
     by a stream from the other.
     """
@@ -169,26 +188,44 @@ def split_run(m: Column) -> Column:
     """A run of tokens as pieces (text, number): the valid numbers in it, and what lies between."""
     start = F.struct(F.regexp_extract_all(m, F.lit("[A-Z0-9]+|[ -]"), F.lit(0)).alias("bits"))  # tokens and separators in turn
 
-    def chosen(_: Column, s: Column) -> Column:
+    def settled(_: Column, s: Column) -> Column:
         bits = s["bits"]
         last = ((F.size(bits) - 1) / 2).cast("int")
-        text = lambda i, j: F.array_join(F.slice(bits, 2 * i + 1, 2 * (j - i) + 1), "")
-        part = lambda i, j: F.struct(_rank(text(i, j)).alias("rank"), (-F.length(text(i, j))).alias("size"), i.alias("i"), j.alias("j"), text(i, j).alias("text"))
-        parts = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.filter(F.transform(F.sequence(i, F.least(i + (WIDEST - 1), last)), lambda j: part(i, j)), lambda p: p["rank"].isNotNull())))
-        none = F.filter(parts, lambda p: F.lit(False))
-        apart = lambda held, p: ~F.exists(held, lambda h: (h["i"] <= p["j"]) & (p["i"] <= h["j"]))
-        taken = F.aggregate(F.array_sort(parts), none, lambda held, p: F.when(apart(held, p), F.concat(held, F.array(p))).otherwise(held))
-        return F.aggregate(F.array(F.struct(taken.alias("taken"))), F.array().cast(PIECES), lambda _, t: pieces(bits, t["taken"]))
-
-    def pieces(bits: Column, taken: Column) -> Column:
-        def piece(bit: Column, at: Column) -> Column:
-            here = F.filter(taken, lambda p: (2 * p["i"] <= at) & (at <= 2 * p["j"]))
-            first = F.get(here, F.lit(0))
-            return F.when(F.size(here) == 0, F.struct(bit.alias("text"), F.lit(False).alias("number"))).when(2 * first["i"] == at, F.struct(first["text"].alias("text"), F.lit(True).alias("number")))
-
-        return F.filter(F.transform(bits, piece), lambda x: x.isNotNull())
-
-    return F.aggregate(F.array(start), F.array().cast(PIECES), chosen)
+        # slice() would copy the whole run each time
+        cut = lambda a, b: F.transform(F.sequence(a, b), lambda x: F.get(bits, x))
+        text = lambda i, j: F.array_join(cut(2 * i, 2 * j), "")
+
+        def parts_from(i: Column) -> Column:
+            named = F.transform(F.sequence(i, F.least(i + (WIDEST - 1), last)), lambda j: F.struct(j.alias("j"), text(i, j).alias("text")))
+            named = F.filter(named, lambda p: F.length(p["text"]).between(*LENGTHS))
+            ranked = F.transform(named, lambda p: F.struct(_rank(p["text"]).alias("rank"), (-F.length(p["text"])).alias("size"), i.alias("i"), p["j"].alias("j"), p["text"].alias("text")))
+            return F.filter(ranked, lambda p: p["rank"].isNotNull())
+
+        def stretch(state: Column, k: Column) -> Column:
+            begin, end = k * STRETCH, F.least((k + 1) * STRETCH - 1, last)
+            parts = F.filter(F.flatten(F.transform(F.sequence(begin, end), parts_from)), lambda p: p["i"] > state["until"])
+            none = F.filter(parts, lambda p: F.lit(False))
+            apart = lambda held, p: ~F.exists(held, lambda h: (h["i"] <= p["j"]) & (p["i"] <= h["j"]))
+            taken = F.aggregate(F.array_sort(parts), none, lambda held, p: F.when(apart(held, p), F.concat(held, F.array(p))).otherwise(held))
+            here = cut(2 * begin, F.least(2 * end + 1, 2 * last))  # the tokens of the stretch and what follows each
+            return F.get(F.transform(F.array(F.struct(taken.alias("taken"))), lambda t: F.struct(
+                F.greatest(state["until"], F.array_max(F.transform(t["taken"], lambda p: p["j"]))).alias("until"),
+                F.concat(state["pieces"], pieces(here, 2 * begin, state["until"], t["taken"])).alias("pieces"),
+            )), F.lit(0))
+
+        state = F.struct(F.lit(-1).alias("until"), F.array().cast(PIECES).alias("pieces"))
+        return F.aggregate(F.sequence(F.lit(0), (last / STRETCH).cast("int")), state, stretch, lambda x: x["pieces"])
+
+    def pieces(here: Column, offset: Column, until: Column, taken: Column) -> Column:
+        def piece(bit: Column, n: Column) -> Column:
+            at = n + offset
+            first = F.get(F.filter(taken, lambda p: (2 * p["i"] <= at) & (at <= 2 * p["j"])), F.lit(0))
+            plain = F.struct(bit.alias("text"), F.lit(False).alias("number"))
+            return F.when(at <= 2 * until, None).when(first.isNull(), plain).when(2 * first["i"] == at, F.struct(first["text"].alias("text"), F.lit(True).alias("number")))
+
+        return F.filter(F.transform(here, piece), lambda x: x.isNotNull())
+
+    return F.aggregate(F.array(start), F.array().cast(PIECES), settled)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -272,26 +309,35 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return F.aggregate(F.array(named), F.lit(""), made)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with the valid values in `text` replaced; columns n_found and n_replaced are added.
-
-    Defined cases: null text stays null with counts 0; empty text stays empty; n_found counts
-    the candidates, of a run the valid ones or one; a column that has
-    the name of an added one is replaced; all other columns and repeated rows stay as they are.
-    """
+def replaced(docs: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
+    """docs with the valid values in `text` replaced; `names` are those of the two counts."""
+    parts, made = fresh(docs, "parts"), fresh(docs, "made")
     text = F.col("text").cast("string")
-    found = F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
-    out = docs.withColumn("_found", found)
+    at, numbers = text.contains("@"), text.rlike("[0-9]")
+    # without an @ there is no address, and without a digit no number: their patterns aren't tried
+    by = lambda use: F.when(at, use(PATTERN)).when(numbers, use(NUMBERS))
     split = lambda m: F.when(kind(m).isin(*RUNS), split_run(m)).otherwise(F.array(F.struct(m.alias("text"), F.lit(True).alias("number"))))
-    out = out.withColumn("_parts", F.when(F.size("_found") > 0, F.transform("_found", split)).otherwise(F.array().cast(f"array<{PIECES}>")))
-    made = lambda x: F.struct(F.when(x["number"], pseudonym(x["text"], key)).otherwise(x["text"]).alias("made"), x["text"].alias("text"), x["number"].alias("number"))
-    out = out.withColumn("_made", F.when(F.size("_found") > 0, F.transform("_parts", lambda xs: F.transform(xs, made))))
+    show = lambda x: F.struct(F.when(x["number"], pseudonym(x["text"], key)).otherwise(x["text"]).alias("made"), x["text"].alias("text"), x["number"].alias("number"))
+    out = docs.withColumn(parts, F.transform(by(lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))), split))
+    any_ = F.coalesce(F.size(parts), F.lit(0)) > 0
+    out = out.withColumn(made, F.when(any_, F.transform(parts, lambda xs: F.transform(xs, show))))
     # between the matches lie the pieces of the text: piece 0, match 0, piece 1, ...
-    pieces = F.split(text, PATTERN, -1)
-    filled = lambda i: F.array_join(F.transform(F.get(F.col("_made"), i), lambda x: x["made"]), "")
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(filled(i), F.lit("")))), "")
-    out = out.withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(F.col("text")))
-    count = lambda which: F.aggregate(F.coalesce(F.col("_made"), F.array()), F.lit(0).cast("long"), which)
+    filled = lambda i: F.array_join(F.transform(F.get(F.col(made), i), lambda x: x["made"]), "")
+    joined = F.array_join(F.transform(by(lambda p: F.split(text, p, -1)), lambda p, i: F.concat(p, F.coalesce(filled(i), F.lit("")))), "")
+    out = out.withColumn("text", F.when(any_, joined).otherwise(F.col("text")))
+    count = lambda which: F.aggregate(F.coalesce(F.col(made), F.array()), F.lit(0).cast("long"), which)
     number = count(lambda n, xs: n + F.greatest(F.lit(1), F.size(F.filter(xs, lambda x: x["number"]))).cast("long"))
     changed = count(lambda n, xs: n + F.size(F.filter(xs, lambda x: x["made"] != x["text"])).cast("long"))
-    return out.withColumn("n_found", number).withColumn("n_replaced", changed).drop("_found", "_parts", "_made")
+    return out.withColumn(names[0], number).withColumn(names[1], changed).drop(parts, made)
+
+
+def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """docs with the valid values in `text` replaced; columns n_found and n_replaced are added.
+
+    Defined cases: null text stays null with counts 0; empty text stays empty; n_found counts
+    the candidates, of a run the valid ones or one; local parts of over 64 characters and domains
+    of over 127 labels are no addresses and stay; a column that is named n_found or n_replaced is
+    replaced; all other columns, whatever their names, and repeated rows stay as they are; an
+    empty table gives an empty result.
+    """
+    return replaced(docs, key, ("n_found", "n_replaced"))
