@@ -2,10 +2,15 @@
 
 Totals by source, language and tokenizer version are sums of signed contributions: an insert adds a
 document's count, a delete takes it back, a revised count takes the old and adds the new.  A batch
-of deltas is reduced to one row a group and committed as one folder; its name is the batch's id, and
-it becomes visible by one rename.  A batch that is there already is not added again, so a batch can
-be sent any number of times: reruns after a lost executor or driver change nothing.  Totals are the
-sum over committed batches and the last compacted base, which names the batches that it holds.
+of deltas is reduced to one row a group and written to a folder of its attempt's own; a marker, a
+small file named after the batch that names the attempt, commits it.  Only marked folders are read,
+and a marker names one attempt, so a batch counts once however often and by however many writers it
+is sent: a rename of a file that must not exist yet decides where the file system has one, and the
+last marker wins where it has not.  Reruns after a lost executor or driver change nothing.
+
+Totals are the sum over the last compacted base and the marked batches that it doesn't hold.  Both
+come from one listing, which is repeated if a new base appeared meanwhile; a batch that is committed
+during a compaction is in no base yet and counts as itself.
 
 Counts come from a tokenizer of the public vocabularies, whose files are a parameter; nothing is
 trained.  Null source and language are groups of their own.
@@ -15,6 +20,10 @@ from __future__ import annotations
 
 import base64
 import os
+import time
+from collections.abc import Callable
+from urllib.parse import quote, unquote
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -33,27 +42,19 @@ WORDS = "words-1"
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _encoder(path: str):
-    """A tiktoken encoding from a vocabulary file of ranks."""
+def _encoder(vocabulary: bytes):
+    """A tiktoken encoding from the content of a vocabulary file of ranks."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
+    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 def _counter(tokenizer: str, vocabulary: bytes | None):
     """Reads the vocabulary from bytes that were shipped: executors need no such file."""
 
     def run(batches):
-        encoding = None
-        if vocabulary is not None:
-            import tempfile
-
-            with tempfile.NamedTemporaryFile(suffix=".tiktoken") as f:
-                f.write(vocabulary.value)
-                f.flush()
-                encoding = _encoder(f.name)
+        encoding = None if vocabulary is None else _encoder(vocabulary.value)
         for batch in batches:
             if encoding is None:
                 n = np.zeros(batch.num_rows, np.int64)
@@ -71,7 +72,11 @@ def token_counts(docs: DataFrame, tokenizer: str, vocabulary: str | None = None)
     """doc_id, source, lang, tokenizer, n_tokens, n_chars of each row of docs.
 
     vocabulary: a file of ranks; without it, tokens are runs of anything but the six ASCII
-    separators.  Null and empty texts have no tokens.
+    separators.
+
+    Defined cases: null and empty texts have no tokens; a null doc_id, source or lang stays null;
+    rows that share a doc_id are counted each; an empty table gives an empty result; other columns
+    are ignored, whatever their names.
     """
     ship(docs.sparkSession)
     shared = None
@@ -97,42 +102,67 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class RollupStore:
-    """Committed batches under one folder of a file system that all executors share."""
+    """Committed batches under one folder of a file system that all executors share.
+
+    attempts/<uuid>: data; batches/<id>, held/<id> and bases/<number>: markers that name an attempt.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._at(self.path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
     def _names(self, kind: str) -> list[str]:
         top = self._at(f"{self.path}/{kind}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
-
-    def batches(self) -> list[str]:
-        """Ids of the committed batches, compacted ones included."""
-        return sorted({*self._names("batches"), *self._held()[1]})
-
-    def _held(self) -> tuple[str | None, list[str]]:
-        """The current base, and the batches that it holds."""
-        bases = self._names("bases")
-        if not bases:
-            return None, []
-        held = self.spark.read.parquet(f"{self.path}/bases/{bases[-1]}/held")
-        return bases[-1], [r.batch for r in held.toLocalIterator()]
-
-    def _publish(self, write, target: str) -> bool:
-        """Write to a folder of this attempt's own, then rename; false if the target is there."""
-        if self._fs.exists(self._at(target)):
+        return sorted(unquote(s.getPath().getName()[2:]) for s in self._fs.listStatus(top) if s.getPath().getName().startswith("m-")) if self._fs.exists(top) else []
+
+    def _marker(self, kind: str, name: str):
+        return self._at(f"{self.path}/{kind}/m-{quote(name, safe='')}")
+
+    def _attempt(self, kind: str, name: str) -> str:
+        """The attempt that a marker names."""
+        stream = self._fs.open(self._marker(kind, name))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _publish(self, write: Callable[[str], None], kind: str, name: str) -> bool:
+        """Write an attempt and mark it; false if the marker is there or another writer was first."""
+        marker = self._marker(kind, name)
+        if self._fs.exists(marker):
             return False
-        attempt = f"{self.path}/attempts/{self.spark._jvm.java.util.UUID.randomUUID().toString()}"
-        write(attempt)
-        self._fs.mkdirs(self._at(target).getParent())
-        done = not self._fs.exists(self._at(target)) and self._fs.rename(self._at(attempt), self._at(target))
+        attempt = uuid4().hex
+        write(f"{self.path}/attempts/{attempt}")
+        draft = self._at(f"{self.path}/attempts/{attempt}.marker")
+        stream = self._fs.create(draft, False)
+        stream.write(bytearray(attempt, "ascii"))
+        stream.close()
+        self._fs.mkdirs(marker.getParent())
+        done = not self._fs.exists(marker) and self._fs.rename(draft, marker) and self._attempt(kind, name) == attempt
         if not done:
-            self._fs.delete(self._at(attempt), True)
+            self._fs.delete(draft, False)
+            self._fs.delete(self._at(f"{self.path}/attempts/{attempt}"), True)
         return done
 
+    def _state(self) -> tuple[str | None, list[str], list[str]]:
+        """The current base, and of the batches not yet vacuumed those that it doesn't hold and those that it does."""
+        while True:
+            bases = self._names("bases")
+            base = bases[-1] if bases else None
+            marked = self._names("batches")
+            if self._names("bases") == bases:
+                break
+        if base is None:
+            return None, marked, []
+        # as many as were committed between two vacuums
+        held = {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.path}/attempts/{self._attempt('bases', base)}/held").toLocalIterator()}
+        return base, [b for b in marked if b not in held], [b for b in marked if b in held]
+
+    def batches(self) -> list[str]:
+        """Ids of all batches ever committed."""
+        return sorted({*self._names("batches"), *self._names("held")})
+
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Add a batch of deltas (GROUP, n_tokens, n_chars, sign); false, and no change, if it is there.
 
@@ -140,40 +170,56 @@ class RollupStore:
         """
         if "/" in batch or not batch:
             raise ValueError("a batch id is a name without slashes")
-        if batch in self.batches():
+        if self._fs.exists(self._marker("batches", batch)) or self._fs.exists(self._marker("held", batch)):
             return False
         signed = deltas.where("n_tokens is not null and sign is not null")
         sums = [F.sum("sign").cast("long").alias("n_docs"), *[F.sum(F.col("sign") * F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c) for c in SUMS[1:]]]
-        return self._publish(lambda to: signed.groupBy(*GROUP).agg(*sums).write.parquet(to), f"{self.path}/batches/{batch}")
+        return self._publish(lambda to: signed.groupBy(*GROUP).agg(*sums).write.parquet(to), "batches", batch)
 
-    def totals(self) -> DataFrame:
-        """The totals by group; groups whose documents are all gone are left out."""
-        base, held = self._held()
-        paths = [f"{self.path}/batches/{b}" for b in self._names("batches") if b not in set(held)]
-        paths += [f"{self.path}/bases/{base}/totals"] if base else []
+    def _sums(self, base: str | None, live: list[str]) -> DataFrame:
+        paths = [f"{self.path}/attempts/{self._attempt('batches', b)}" for b in live]
+        paths += [f"{self.path}/attempts/{self._attempt('bases', base)}/totals"] if base else []
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
         # groupBy takes nulls as one group
         sums = rows.groupBy(*GROUP).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS])
         return sums.where(" or ".join(f"{c} <> 0" for c in SUMS))
 
-    def compact(self) -> None:
-        """Fold all committed batches into a new base.  The old folders stay readable until vacuum()."""
-        names = self.batches()
-        last = self._names("bases")
-        to = f"{(int(last[-1]) if last else 0) + 1:09d}"
+    def totals(self) -> DataFrame:
+        """The totals by group; groups whose documents are all gone are left out."""
+        base, live, _ = self._state()
+        return self._sums(base, live)
+
+    def compact(self) -> bool:
+        """Fold the batches committed by now into a new base; false if another compaction was first."""
+        base, live, held = self._state()
 
         def write(at: str) -> None:
-            self.totals().write.parquet(f"{at}/totals")
-            self.spark.createDataFrame([(n,) for n in names], "batch string").write.parquet(f"{at}/held")
+            self._sums(base, live).write.parquet(f"{at}/totals")
+            self.spark.createDataFrame([(n,) for n in live + held], "batch string").write.parquet(f"{at}/held")
 
-        self._publish(write, f"{self.path}/bases/{to}")
+        return self._publish(write, "bases", f"{(int(base) if base else 0) + 1:09d}")
 
-    def vacuum(self) -> None:
-        """Delete batches that the current base holds, older bases, and attempts that never ended."""
-        base, held = self._held()
+    def vacuum(self, older: float = 86_400) -> None:
+        """Delete the data of batches that the current base holds, older bases, and attempts
+        without a marker that are older than so many seconds.  The ids stay known.
+
+        Readers of an older base may fail and must be repeated.
+        """
+        base, live, held = self._state()
+        self._fs.mkdirs(self._at(f"{self.path}/held"))
         for b in held:
-            self._fs.delete(self._at(f"{self.path}/batches/{b}"), True)
+            gone = self._at(f"{self.path}/attempts/{self._attempt('batches', b)}")
+            self._fs.rename(self._marker("batches", b), self._marker("held", b))
+            self._fs.delete(gone, True)
         for b in self._names("bases"):
             if b != base:
-                self._fs.delete(self._at(f"{self.path}/bases/{b}"), True)
-        self._fs.delete(self._at(f"{self.path}/attempts"), True)
+                self._fs.delete(self._at(f"{self.path}/attempts/{self._attempt('bases', b)}"), True)
+                self._fs.delete(self._marker("bases", b), False)
+        used = {self._attempt("bases", base)} if base else set()
+        top, now = self._at(f"{self.path}/attempts"), time.time()
+        for s in self._fs.listStatus(top) if self._fs.exists(top) else []:
+            name = s.getPath().getName().split(".")[0]
+            if s.getModificationTime() / 1000 <= now - older and name not in used:
+                used |= {self._attempt("batches", b) for b in self._names("batches")}
+                if name not in used:
+                    self._fs.delete(s.getPath(), True)
