@@ -6,9 +6,12 @@ one matrix product of the int8 values (exact in float32 for up to 1,000 componen
 beyond) gives every approximate distance.  With r the norm of a vector's quantisation error, the
 true distance is within r(query) + r(candidate) of it.  Candidates whose lower bound exceeds the
 k-th smallest upper bound are out; the others are recomputed in double precision.  Each tile gives
-k rows a query, which are merged by heaps.  Nothing is lost: recall is 1.
+k rows a query in order, and heaps merge these lists, LISTS of them at a time, in a tree.  Nothing is
+lost: recall is 1.
 
-Both block sizes are bounds on what a task holds; their number follows the table.
+Block sizes bound what a task holds; their number follows the tables.  A vector travels once for each
+block of the other side: with n candidates and m queries, m / QUERIES copies of each candidate and
+n / CANDIDATES of each query.
 """
 
 from __future__ import annotations
@@ -21,12 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._session import ship
+from . import _kernels as kn
+from ._session import ship, shuffle_partitions
 
-CANDIDATES = 16_384
-QUERIES = 4_096
-MERGED = 256
-SCHEMA = "query_id long, vec_id long, score double"
+CANDIDATES = QUERIES = 65_536
+#: A table that is smaller than a block for each partition is dealt into blocks of this size.
+SMALL = 2_048
+#: Queries whose products with a block of candidates are held at once.
+AT_ONCE = 64
+#: Queries of a merging task, and lists that it merges for each.
+MERGED, LISTS = 256, 64
+SCHEMA = "x long, query_id long, vec_id long, score double"
 
 
 def usable(vector: Column) -> Column:
@@ -62,8 +70,8 @@ def tile(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.nda
     cn = (cq.astype(np.int64) ** 2).sum(axis=1) * cs**2
     qn = (qq.astype(np.int64) ** 2).sum(axis=1) * qs**2
     right = cq.astype(kind).T
-    for a in range(0, len(qids), 256):
-        b = slice(a, a + 256)
+    for a in range(0, len(qids), AT_ONCE):
+        b = slice(a, a + AT_ONCE)
         product = qq[b].astype(kind) @ right
         near = np.sqrt(np.maximum(qn[b, None] + cn - 2 * qs[b, None] * cs * product.astype(np.float64), 0))
         slack = (ql[b, None] + cl) * (1 + 1e-9) + 1e-9 * (1 + near)
@@ -109,22 +117,28 @@ def _tiles(k: int):
                 if n in have:
                     parts += tile(*have[n], qids, vectors, k)
         cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
-        return pa.Table.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
+        x = candidates.column("x")[0].as_py() if parts else 0
+        return pa.Table.from_arrays([pa.array(np.full(len(cols[0]), x)), *map(pa.array, cols)], ["x", "query_id", "vec_id", "score"])
 
     return run
 
 
 def _merge(k: int):
+    """Of each query, the first k of the merged lists of all x of the group."""
+
     def run(table):
-        q, v, s = (np.asarray(table.column(c)) for c in ("query_id", "vec_id", "score"))
-        order = np.lexsort((v, s, q))
-        q, v, s = q[order].tolist(), v[order].tolist(), s[order].tolist()
+        x, q, v, s = (np.asarray(table.column(c)) for c in ("x", "query_id", "vec_id", "score"))
+        order = np.lexsort((v, s, x, q))
+        x, q, v, s = x[order], q[order], v[order].tolist(), s[order].tolist()
+        cuts = np.flatnonzero(kn.new_groups(q, x))
         lists: dict[int, list] = {}
-        for a, b, c in zip(q, v, s, strict=True):
-            lists.setdefault(a, []).append((c, b))
-        rows = [(a, i + 1, b, c) for a, found in lists.items() for i, (c, b) in enumerate(islice(heapq.merge(found), k))]
-        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["query_id", "rank", "vec_id", "score"])
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(q)], strict=True):
+            lists.setdefault(int(q[a]), []).append(zip(s[a:b], v[a:b], strict=True))
+        group = int(x[0]) // LISTS if len(x) else 0
+        rows = [(group, a, c, b, i + 1) for a, found in lists.items() for i, (b, c) in enumerate(islice(heapq.merge(*found), k))]
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["x", "query_id", "vec_id", "score", "rank"])
 
     return run
 
@@ -137,18 +151,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Defined cases: vectors that are null, all zero or hold null or non-finite components, and rows
     with a null vec_id, take no part on either side; vectors of another length are no candidates; with fewer than k
-    candidates all are returned; of rows that share a vec_id each counts as a candidate; an empty
-    side gives an empty result; other columns are ignored.
+    candidates all are returned; of rows that share a vec_id each counts as a candidate, and as
+    queries equal ones count once and others together; an empty side gives an empty result; other
+    columns are ignored.
     """
     ship(vectors.sparkSession)
     pick = [F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector")]
     vectors, queries = (df.select(*pick).where(usable(F.col("vector")) & F.col("vec_id").isNotNull()) for df in (vectors, queries))
-    across = max(1, -(-vectors.count() // CANDIDATES))
+    queries = queries.distinct()
+    count = vectors.count()
+    across = max(1, -(-count // CANDIDATES), min(shuffle_partitions(vectors.sparkSession), -(-count // SMALL)))
     down = max(1, -(-queries.count() // QUERIES))
-    deal = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n))
+    deal = lambda salt, n: F.pmod(F.xxhash64("vec_id", "vector", F.lit(salt)), F.lit(n)).cast("long")
     named = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = vectors.select("*", deal(1, across).alias("x"), named(down).alias("y"))
     right = queries.select("*", named(across).alias("x"), deal(2, down).alias("y"))
-    tiles = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(_tiles(k), SCHEMA)
-    merged = tiles.withColumn("m", F.pmod(F.xxhash64("query_id"), F.lit(max(1, down * QUERIES // MERGED))))
-    return merged.groupBy("m").applyInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
+    found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(_tiles(k), SCHEMA)
+    found = found.withColumn("rank", F.lit(0))
+    while True:
+        group = F.expr(f"x div {LISTS}"), F.pmod(F.xxhash64("query_id"), F.lit(max(1, down * QUERIES // MERGED)))
+        found = found.groupBy(*group).applyInArrow(_merge(k), SCHEMA + ", rank int")
+        across = -(-across // LISTS)
+        if across == 1:
+            return found.select("query_id", "rank", "vec_id", "score")
