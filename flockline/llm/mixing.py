@@ -11,7 +11,7 @@ Documents of a source are put in a seeded order (md5 of seed and id).  Each is t
 times as the target holds the source, and what remains of the target is taken once more from the
 front of the order; the last document of that front gives the words that are still missing.  The
 running sum is taken by buckets of the digest: sums by bucket first, then within a bucket, so a
-source with a third of all rows is never in one task.
+source with a third of all rows is never in one task.  The buckets follow the number of rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,16 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
-DIGITS = 3
+#: Rows of a source in a bucket of the digest, about and at most; 16**3 buckets at least.
+BUCKET_ROWS, DIGITS = 100_000, 3
+
+
+def digits(rows: int) -> int:
+    """How many hexadecimal digits of the digest name a bucket."""
+    n = DIGITS
+    while rows > BUCKET_ROWS * 16**n:
+        n += 1
+    return n
 
 
 def word_count(text: Column) -> Column:
@@ -64,11 +73,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     Defined cases: null text has size 0; null is a source of its own, last in order; a null doc_id
     orders after all others of its source; rows that share a doc_id share a place in the order and
     follow each other by size; sources without words get target 0; an empty table gives an empty
-    result; other columns of docs are ignored.
+    result; other columns of docs are ignored, whatever their names.
     """
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), digest.alias("d")))
-    slim = slim.withColumn("bucket", F.substring("d", 1, DIGITS))
+    slim = slim.withColumn("bucket", F.substring("d", 1, digits(slim.count())))
     sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     goal = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs)
     goal = goal.withColumn("words", F.floor(F.col("target") + 0.5).cast("long"))
