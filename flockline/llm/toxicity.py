@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> tuple[np.nd
     """Features, weights and bias from docs (doc_id, text) and labels (doc_id, toxic).
 
     Rows of the held-out fold, null labels and null ids are not used; several labels of a document
-    count as toxic if one is.  None without usable labels.
+    count as toxic if one is; of rows that share an id one is learned.  None without usable labels.
     """
     ship(docs.sparkSession)
     usable = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
@@ -123,6 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> tuple[np.nd
     chosen = chosen.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(most)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = sample.select(F.lit(1).alias("one"), "place", "toxic", "text").mapInArrow(_sample_features, "one int, place long, toxic int, features binary")
+    # of rows that share an id one is learned, so a hot id does not grow the sample
+    rows = rows.groupBy("one", "place", "toxic").agg(F.min("features").alias("features"))
     model = cut(rows.groupBy("one").applyInArrow(_train, "feature long, weight double")).orderBy("feature").collect()
     if not model:
         return None
