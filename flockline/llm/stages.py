@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._session import fresh, same_columns
+from ._session import cut, fresh, same_columns
 from . import decontam, jaccard_join, mixing as mixing_, pii as pii_, toxicity as toxicity_
 
 SHINGLE, PERCENT = 5, 80
+#: Rows of two numbers that are broadcast at most; more of them are joined by an exchange.
+BROADCAST_ROWS = 500_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,19 +30,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     one stay.  Equal rows count as one.  Rows without words or without an id stay.
     """
     found = jaccard_join.jaccard_join(docs, SHINGLE, PERCENT).where("component_id is not null and n_shingles > 0")
+    found = cut(found.select("doc_id", "th", "component_id"))
     first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("first"))
     mine = found.where("component_id = doc_id").groupBy("doc_id", "th").agg(F.count("*").alias("times"))  # few rows a class: those of its least id
     mine = mine.join(first, F.col("doc_id") == F.col("component_id")).withColumn("stays", F.col("th") == F.col("first.th"))
-    gone = found.where("component_id <> doc_id").select("doc_id", "th").distinct().withColumn("times", F.lit(0))
-    gone = gone.unionByName(mine.where("not stays").select("doc_id", "th", F.lit(0).alias("times")))
-    again = mine.where("stays and times > 1").select("doc_id", "th", F.lit(1).alias("times"))
-    id_, th, times = fresh(docs, "doc"), fresh(docs, "th"), fresh(docs, "times")
-    marked = gone.unionByName(again).select(F.col("doc_id").alias(id_), F.col("th").alias(th), F.col("times").alias(times))
-    text = F.col("text").cast("string")
-    joined = docs.join(marked, (docs["doc_id"].cast("long") == F.col(id_)) & (F.xxhash64(text) == F.col(th)), "left")
-    # marked rows go, but for one of each that is there several times
-    once = same_columns(joined.where(F.col(times) == 1).dropDuplicates([id_, th]), docs)
-    return same_columns(joined.where(F.col(times).isNull()), docs).unionByName(once)
+    gone = found.where("component_id <> doc_id").select("doc_id", "th").distinct().withColumn("again", F.lit(False))
+    id_, th, again = fresh(docs, "doc"), fresh(docs, "th"), fresh(docs, "again")
+    # what goes, and what is there several times and must stay once
+    marked = gone.unionByName(mine.where("not stays or times > 1").select("doc_id", "th", F.col("stays").alias("again")))
+    marked = cut(marked.select(F.col("doc_id").alias(id_), F.col("th").alias(th), F.col("again").alias(again)))
+    size, several = marked.agg(F.count("*"), F.max(again)).first()
+    side = F.broadcast(marked) if size <= BROADCAST_ROWS else marked
+    here = (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64(F.col("text").cast("string")) == F.col(th))
+    kept = same_columns(docs.join(side, here, "left_anti"), docs)
+    if several:
+        once = docs.join(side.where(F.col(again)), here).dropDuplicates([id_, th])
+        kept = kept.unionByName(same_columns(once, docs))
+    return kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

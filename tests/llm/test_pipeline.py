@@ -34,3 +34,11 @@ def test_near_duplicates_go_by_row(spark, docs_of):
     assert eight in (d, d + " end")
     assert got == sorted((str(i), str(t)) for i, t in [(1, a), (5, b), (6, c), (8, eight), (None, a), (None, a), (9, None), (9, ""), (9, "")])
     assert stages.near_duplicates(spark, docs.where("false"), "").collect() == []
+
+
+def test_near_duplicates_without_a_broadcast(spark, docs_of, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = docs_of([(1, text), (2, text), (3, "other words"), (3, "other words"), (None, None)])
+    some = sorted(map(str, stages.near_duplicates(spark, docs, "").collect()))
+    monkeypatch.setattr(stages, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, stages.near_duplicates(spark, docs, "").collect())) == some and len(some) == 3
