@@ -14,6 +14,7 @@ from flockline import catalog
 from flockline.functions import points as fp
 from flockline.operators import density as dn
 from flockline.operators import layout as ly
+from flockline.operators import patterns as pt
 from flockline.operators import prep
 from flockline.schema import DETECTIONS, POINTS, Query, Region, duration_to_frames, hour_to_frame, interval_to_frames, seconds_to_frames
 from flockline.sources import tracks as src
@@ -99,6 +100,9 @@ def test_merged_ids_do_not_collide(spark):
     df = spark.createDataFrame([("b", 0), ("b", 4), ("a", 0), ("a", 9), ("c", 0)], "part string, oid int")
     assert sorted(r.oid for r in prep.merge_parts(df).collect()) == [0, 9, 10, 14, 15]
     assert sorted(r.oid for r in prep.merge_parts(df, ["c", "b", "a"]).collect()) == [0, 1, 5, 6, 15]
+    large = spark.createDataFrame([(p, 2**31 - 1, "m") for p in "abc"], "part string, oid int, move string")
+    assert sorted(r.oid for r in prep.merge_parts(large).collect()) == [2**31 * i - 1 for i in (1, 2, 3)]
+    assert prep.merge_parts(large).columns == ["oid", "move"]
 
 
 def test_tracks_and_borders(spark):
@@ -128,6 +132,31 @@ def test_cells_and_box_search(spark):
     assert cells["sure"] == [(0, 0), (1, 0), (0, 1), (1, 1)] and cells["check"] == [(2, 0), (2, 1)]
 
 
+def test_layout_is_read_back_with_pruning(spark, tmp_path):
+    rng = random.Random(6)
+    borders = prep.grid_borders((0, 99, 0, 59), (5, 3))
+    df = pts(spark, [(o, o % 3, f, rng.randrange(100), rng.randrange(60)) for o in range(9) for f in range(40)])
+    segments = ly.cell_segments(ly.with_cells(df, borders)).cache()
+    ly.write_layout(segments, f"{tmp_path}/layout")
+    box = Region(10, 70, 5, 50)
+    found = ly.search_layout(spark, f"{tmp_path}/layout", borders, box, [0, 2], (10, 25))
+    cells = ly.cells_of_box(borders, box)
+    number = lambda k: {y * 5 + x for x, y in cells[k]}
+    want = {(*r, r.cell in number("sure")) for r in segments.collect() if r.cls != 1 and r.cell in number("sure") | number("check") and r.b < 25 and r.e > 10}
+    assert {tuple(r) for r in found.collect()} == want and want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cls" in plan, plan
+    assert "In(cell" in plan and "LessThan(b,25)" in plan
+
+
+def test_windows_of_frames_in_blocks(spark):
+    frames = [(f, [f, f + 1]) for f in range(0, 60, 3)]
+    df = spark.createDataFrame(frames, "fid int, ids array<int>")
+    for n in (1, 4, 30):
+        got = {r.fid: [x.fid for x in r.window] for r in pt.sliding_windows(df, n, block=3).collect()}
+        assert got == {f: [g for g, _ in frames[max(0, i - n + 1) : i + 1]] for i, (f, _) in enumerate(frames)}
+
+
 def test_life_borders(spark):
     rows = [(o, 0, f, 0, 0) for o in range(10) for f in range(o + 1)] + [(99, 1, 0, 0, 0)]
     got = {r.cls: (r.n_objects, r.life_border) for r in ly.life_borders(pts(spark, rows), 2, ((0, 0.5), (5, 0.2))).collect()}
@@ -142,20 +171,21 @@ def test_border_strides(spark):
 
 # ---------------------------------------------------------------- density
 
-GOLDEN = [(10, 1, 1, 5, 5), (11, 1, 10, 5, 5), (12, 1, 20, 40, 40), (13, 2, 5, 40, 5), (14, 3, 5, 5, 5)]
-GRID = dn.Grid(64, 64, 1, 20, 32, 1, 32, 2, 10)
+# two classes that count and one that doesn't; one point lies beyond the extent
+SEEN = [(1, 4, 0, 3, 3), (1, 4, 9, 19, 3), (2, 4, 10, 20, 25), (3, 4, 39, 49, 29), (4, 7, 25, 45, 10), (4, 7, 26, 60, 99), (5, 8, 5, 1, 1)]
+GRID = dn.Grid(50, 30, 0, 39, 20, 2, 25, 4, 5)
 
 
-def test_density_golden(spark):
-    df = pts(spark, GOLDEN)
+def test_histograms_of_few_points(spark):
+    df = pts(spark, SEEN)
     get = lambda d, *c: {tuple(r[k] for k in c): r.n for r in d.collect()}
-    assert get(dn.spatial_histogram(df, [1, 2], GRID), "cls", "cy", "cx") == {(1, 0, 0): 2, (1, 1, 1): 1, (2, 0, 1): 1}
-    assert get(dn.temporal_histogram(df, [1, 2], GRID), "cls", "tb") == {(1, 0): 2, (1, 1): 1, (2, 0): 1}
-    assert (GRID.x_edges, GRID.t_edges, GRID.jt_edges) == ([0, 32, 64], [1, 11, 21], [1, 21])
-    total = {r.cls: (r.n_points, r.n_objects) for r in dn.totals(df, [1, 2]).collect()}
-    assert total == {1: (3, 3), 2: (1, 1), None: (5, 4)}
-    every = dn.all_histograms(df, [1, 2], GRID)
-    assert {r.kind: r.s for r in every.groupBy("kind").agg(F.sum("n").alias("s")).collect()} == {"spatial": 4, "temporal": 4, "joint": 4}
+    assert get(dn.spatial_histogram(df, [4, 7], GRID), "cls", "cy", "cx") == {(4, 0, 0): 2, (4, 1, 1): 1, (4, 1, 2): 1, (7, 0, 2): 1, (7, 1, 2): 1}
+    assert get(dn.temporal_histogram(df, [4, 7], GRID), "cls", "tb") == {(4, 0): 2, (4, 1): 1, (4, 3): 1, (7, 2): 2}
+    assert (GRID.x_edges, GRID.y_edges, GRID.t_edges) == ([0, 20, 40, 50], [0, 20, 30], [0, 10, 20, 30, 40])
+    assert (GRID.jx_edges, GRID.jt_edges) == ([0, 25, 50], [0, 20, 40])
+    assert {r.cls: (r.n_points, r.n_objects) for r in dn.totals(df, [4, 7]).collect()} == {4: (4, 3), 7: (2, 1), None: (7, 4)}
+    every = dn.all_histograms(df, [4, 7], GRID)
+    assert {r.kind: r.s for r in every.groupBy("kind").agg(F.sum("n").alias("s")).collect()} == {"spatial": 6, "temporal": 6, "joint": 6}
 
 
 def cube(seed=0):
@@ -237,7 +267,7 @@ def test_round_trips(spark, tmp_path):
         assert back.schema == POINTS and sorted(map(tuple, back.collect())) == [(1, 0, 1, 2, 3), (2, 1, 5, 6, 7)]
     src.write_frame_range(df, f"{tmp_path}/c", 5, 9)
     assert src.read_points(spark, f"{tmp_path}/c", ["oid"]).collect()[0].oid == 2
-    assert src.frame_bounds(df) == (1, 5)
+    assert src.frame_bounds(df) == src.frame_bounds_of_files(spark, f"{tmp_path}/a") == (1, 5)
     with pytest.raises(ValueError):
         src.frame_bounds(df.where("false"))
     with pytest.raises(ValueError):
