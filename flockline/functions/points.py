@@ -12,12 +12,25 @@ from ..schema import Region
 
 # Names of the 80 object classes, by id.
 CLASS_NAMES = (
-    "person bicycle car motorcycle airplane bus train truck boat traffic_light fire_hydrant stop_sign parking_meter bench bird cat dog horse sheep cow "
-    "elephant bear zebra giraffe backpack umbrella handbag tie suitcase frisbee skis snowboard sports_ball kite baseball_bat baseball_glove skateboard "
-    "surfboard tennis_racket bottle wine_glass cup fork knife spoon bowl banana apple sandwich orange broccoli carrot hot_dog pizza donut cake chair couch "
-    "potted_plant bed dining_table toilet tv laptop mouse remote keyboard cell_phone microwave oven toaster sink refrigerator book clock vase scissors "
-    "teddy_bear hair_drier toothbrush"
-).split()
+    "person", "bicycle", "car", "motorcycle", "airplane", "bus", "train", "truck",
+    "boat", "traffic light", "fire hydrant", "stop sign", "parking meter", "bench", "bird", "cat",
+    "dog", "horse", "sheep", "cow", "elephant", "bear", "zebra", "giraffe",
+    "backpack", "umbrella", "handbag", "tie", "suitcase", "frisbee", "skis", "snowboard",
+    "sports ball", "kite", "baseball bat", "baseball glove", "skateboard", "surfboard", "tennis racket", "bottle",
+    "wine glass", "cup", "fork", "knife", "spoon", "bowl", "banana", "apple",
+    "sandwich", "orange", "broccoli", "carrot", "hot dog", "pizza", "donut", "cake",
+    "chair", "couch", "potted plant", "bed", "dining table", "toilet", "tv", "laptop",
+    "mouse", "remote", "keyboard", "cell phone", "microwave", "oven", "toaster", "sink",
+    "refrigerator", "book", "clock", "vase", "scissors", "teddy bear", "hair drier", "toothbrush",
+)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def of_classes(classes: Iterable[int]) -> Column:
@@ -64,7 +77,7 @@ def class_of_objects(points: DataFrame) -> DataFrame:
 
 def class_name(cls: Column) -> Column:
     """The name of a class id; null outside 0..79."""
-    names = F.array(*[F.lit(n.replace("_", " ")) for n in CLASS_NAMES])
+    names = F.array(*[F.lit(n) for n in CLASS_NAMES])
     return F.get(names, cls.cast("int"))
 
 
@@ -79,7 +92,8 @@ def every_kth(points: DataFrame, k: int) -> DataFrame:
     if k < 1:
         raise ValueError("k must be positive")
     nth = F.row_number().over(W.partitionBy("oid").orderBy("fid")) - 1
-    return points.withColumn("_n", nth).where(F.col("_n") % k == 0).drop("_n")
+    n = unused(points, "nth")
+    return points.withColumn(n, nth).where(F.col(n) % k == 0).drop(n)
 
 
 def scaled(points: DataFrame, factor: float) -> DataFrame:

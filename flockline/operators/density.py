@@ -9,6 +9,7 @@ driver over candidates, whose number is that of grid positions.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from bisect import bisect_left
 from collections.abc import Iterable, Sequence
@@ -214,22 +215,27 @@ def choose_greedy(scored: Iterable[tuple[float, int, int, int]], box: Box, n: in
 
 
 def choose_weighted(scored: Iterable[tuple[float, int, int, int]], box: Box, n: int, seed: int = 1234, allow_overlap: bool = False, min_score: float = 0.0) -> list[tuple[float, int, int, int]]:
-    """A seeded order in which denser candidates tend to come first; empty ones follow, shuffled."""
-    rows = sorted(scored, key=lambda s: s[1:])
-    rng = np.random.default_rng(seed)
-    weight = np.array([s[0] if s[0] >= min_score else 0.0 for s in rows])
-    if not (weight > 0).any():
-        weight = np.ones(len(rows))
-    some = np.flatnonzero(weight > 0)
-    keys = np.log(weight[some]) + rng.gumbel(size=len(some))
-    rest = np.flatnonzero(weight <= 0)
-    rng.shuffle(rest)
+    """A seeded order in which denser candidates tend to come first; empty ones follow, shuffled.
+
+    Each candidate waits -log(u) / weight, with u between 0 and 1 from a digest of seed and place: the
+    order is that of drawing by weight without replacement.
+    """
+    rows = list(scored)
+    least = max(min_score, 0.0)
+    weighed = any(s[0] > 0 and s[0] >= least for s in rows)
+
+    def wait(s: tuple[float, int, int, int]) -> tuple:
+        digest = hashlib.md5(":".join(map(str, (seed, *s[1:]))).encode()).hexdigest()
+        u = (int(digest[:12], 16) + 1) / (1 << 48)
+        weight = (s[0] if s[0] >= least else 0.0) if weighed else 1.0
+        return (weight <= 0, -math.log(u) / weight if weight > 0 else u, *s[1:])
+
     taken, out = _Taken(box.cw, box.ch), []
-    for j in [*some[np.argsort(-keys)], *rest]:
+    for s in sorted(rows, key=wait):
         if len(out) >= n:
             break
-        if allow_overlap or taken.take(rows[j][1], rows[j][2]):
-            out.append(rows[j])
+        if allow_overlap or taken.take(s[1], s[2]):
+            out.append(s)
     return out
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -72,8 +73,21 @@ def search_cells(celled: DataFrame, borders: tuple[list[int], list[int]], region
 
 
 def write_layout(celled_segments: DataFrame, path: str) -> None:
-    """The two-level layout: a folder a class, sorted by cell and begin, so scans prune by both."""
-    celled_segments.repartition("cls").sortWithinPartitions("cell", "b").write.mode("overwrite").partitionBy("cls").parquet(path)
+    """The two-level layout: a folder a class, files of cell ranges sorted by cell and begin, so scans prune by all three."""
+    celled_segments.repartitionByRange("cls", "cell", "b").sortWithinPartitions("cls", "cell", "b").write.mode("overwrite").partitionBy("cls").parquet(path)
+
+
+def search_layout(spark: SparkSession, path: str, borders: tuple[list[int], list[int]], region: Region, classes: Iterable[int], interval: tuple[int, int]) -> DataFrame:
+    """oid, cls, cell, b, e, sure: the segments of a written layout in cells that a box touches, during [lo, hi).
+
+    `sure`: the box covers the cell wholly, so all points of the segment are inside.  Folders of other
+    classes are not read; cells and begins and ends prune by the files' statistics.
+    """
+    cells = cells_of_box(borders, region)
+    number = lambda some: [y * (len(borders[0]) - 1) + x for x, y in some]
+    touched = number(cells["sure"] + cells["check"])
+    found = spark.read.parquet(path).where(F.col("cls").isin(sorted(set(classes))) & F.col("cell").isin(touched) & (F.col("b") < interval[1]) & (F.col("e") > interval[0]))
+    return found.select("oid", "cls", "cell", "b", "e", F.col("cell").isin(number(cells["sure"])).alias("sure"))
 
 
 def top_classes_by_objects(points: DataFrame, k: int = 9) -> DataFrame:

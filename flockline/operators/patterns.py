@@ -49,10 +49,18 @@ def maximal(patterns: DataFrame) -> DataFrame:
     return p.join(inside.select("p").distinct(), "p", "left_anti").select("ids", "start_fid", "end_fid")
 
 
-def sliding_windows(frames: DataFrame, n: int) -> DataFrame:
-    """fid and the sets of the last n frames, oldest first (fewer at the start)."""
-    last = W.orderBy("fid").rowsBetween(1 - n, 0)
-    return frames.select("fid", F.collect_list(F.struct("fid", "ids")).over(last).alias("window"))
+def sliding_windows(frames: DataFrame, n: int, block: int = 4096) -> DataFrame:
+    """fid and the sets of the last n frames, oldest first (fewer at the start); a row a frame.
+
+    Only the frame numbers are ranked in one task; the sets are dealt to blocks of ranks, and the
+    last n - 1 of a block to the next ones, too.
+    """
+    rank = frames.select("fid").withColumn("rank", F.row_number().over(W.orderBy("fid")) - 1)
+    ranked = frames.select("fid", "ids").join(rank, "fid")
+    home = F.floor(F.col("rank") / block)
+    dealt = ranked.withColumn("home", home).withColumn("block", F.explode(F.sequence(home, F.floor((F.col("rank") + (n - 1)) / block))))
+    last = W.partitionBy("block").orderBy("fid").rowsBetween(1 - n, 0)
+    return dealt.withColumn("window", F.collect_list(F.struct("fid", "ids")).over(last)).where("block = home").select("fid", "window")
 
 
 def _intersections(sets: list[tuple[int, frozenset]]) -> dict[frozenset, list[int]]:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.points import every_kth
+from ..functions.points import every_kth, unused
 
 
 def center_points(detections: DataFrame, center: bool = True) -> DataFrame:
@@ -54,13 +54,14 @@ def merge_parts(parts: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Parts of one data set (column `part`) as one table, with ids that do not collide.
 
     Each part's ids are moved past the greatest ids of all the parts before it, by the order given
-    or by name.
+    or by name; they become long, as those of many parts add up.
     """
     tops = parts.groupBy("part").agg(F.max("oid").alias("top"))
     place = F.array_position(F.lit(order), F.col("part")) if order else F.lit(0)
     before = W.orderBy(place, "part").rowsBetween(W.unboundedPreceding, -1)  # a row a part
-    moves = tops.select("part", F.coalesce(F.sum(F.col("top") + 1).over(before), F.lit(0)).alias("move"))
-    return parts.join(F.broadcast(moves), "part").withColumn("oid", (F.col("oid") + F.col("move")).cast("int")).drop("move", "part")
+    move = unused(parts, "move")
+    moves = tops.select("part", F.coalesce(F.sum(F.col("top").cast("long") + 1).over(before), F.lit(0)).alias(move))
+    return parts.join(F.broadcast(moves), "part").withColumn("oid", F.col("oid") + F.col(move)).drop(move, "part")
 
 
 def tracks(points: DataFrame, classes: list[int] | None = None, stride: int = 1, scale: float = 1) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A pattern (ids, start_fid, end_fid): all objects whose runs cover the frames start..end, end
 included, with some run that begins at start, some that ends at end, `duration` frames at least and
-the minimum of every class.  Two plans give the same rows: `prefix`, for production, and `closed`,
-the definition itself.
+the minimum of every class.  Three plans give the same rows: `prefix`, for production; `windowed`,
+whose tasks hold the runs of a window of frames each, and nothing that grows with the time; and
+`closed`, the definition itself.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,6 +83,39 @@ def closed_patterns(runs_: DataFrame, labels: dict[int, int], duration: int, wid
     return kept.select("ids", F.col("s").alias("start_fid"), (F.col("end") - 1).alias("end_fid"), F.size("ids").alias("n_objects"))
 
 
+def windowed_patterns(runs_: DataFrame, labels: dict[int, int], duration: int, stride: int) -> DataFrame:
+    """Patterns by windows of `stride` frames, each a task of its own: those whose last frame is in the window.
+
+    A task holds the runs that touch its window, uncut, and goes through their ends in order.
+    `stride` must hold two durations, so that a run is in few windows.
+    """
+    if stride < 2 * duration:
+        raise ValueError(f"a window of {stride} frames does not hold two durations of {duration}")
+    schema = "ids array<int>, start_fid int, end_fid int, n_objects int"
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = int(pdf["bucket"].iloc[0])
+        rows = sorted(zip(*(pdf[c].tolist() for c in ("b", "e", "oid", "cls")), strict=True))
+        out, active, at = [], [], 0
+        for end in sorted({e for _, e, _, _ in rows if (e - 1) // stride == w}):
+            while at < len(rows) and rows[at][0] <= end - duration:
+                active.append(rows[at])
+                at += 1
+            active = [r for r in active if r[1] >= end]
+            low = min((b for b, e, _, _ in active if e == end), default=None)
+            ids, left = [], dict(labels)
+            for i, (b, _, oid, cls) in enumerate(active):
+                ids.append(oid)
+                left[cls] -= 1
+                closed = i + 1 == len(active) or active[i + 1][0] > b
+                if closed and low is not None and b >= low and max(left.values()) <= 0:
+                    out.append((sorted(ids), b, end - 1, len(ids)))
+        return pd.DataFrame(out, columns=["ids", "start_fid", "end_fid", "n_objects"])
+
+    some = runs_.where((F.col("e") - F.col("b") >= duration) & F.col("cls").isin(sorted(labels)))
+    return _spread(some, stride).groupBy("bucket").applyInPandas(solve, schema)
+
+
 def sliding_counts(points: DataFrame, query: Query) -> DataFrame:
     """oid, cls, fid: objects in the region at each of the `duration` frames up to fid."""
     seen = select_points(points, query.labels, query.region, query.interval).groupBy("oid", "fid").agg(F.min("cls").alias("cls"))
@@ -106,7 +141,7 @@ def runs_of_frames(qualified: DataFrame, duration: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Method:
-    """What a method's name asks for.  All give the same rows; the fields keep what was asked."""
+    """What a method's name asks for.  All give the same rows; merges by strides take the window from minima and expend."""
 
     family: str = "index"
     enumerator: str = "obj"
@@ -123,6 +158,9 @@ _MERGES = {  # fixed values: the names of the merge strategies
 }
 
 
+WINDOWED = ("stride", "stride_stream", "stride_win", "state")
+
+
 def parse_method(name: str | tuple) -> Method:
     """A method from its name, `index_max_dur_stride_m600_e3`, or from a tuple of its parts."""
     if not isinstance(name, str):
@@ -163,18 +201,21 @@ def co_movement(points: DataFrame, query: Query, method: str | tuple | None = No
     """Patterns of a query: ids, start_fid, end_fid, n_objects.
 
     method: `prefix` or `closed` name a plan; the names of the index and sliding methods are
-    accepted and give the same rows by the plan of their family.  No labels, and classes that are
-    absent from the points, give no rows.
+    accepted and give the same rows: sliding ones from the objects that qualify at each frame, those
+    that merge by strides (and `sliding_state`) by windows of `minima` or `expend` durations.  No
+    labels, and classes that are absent from the points, give no rows.
     """
     name = method or query.method
     if name == "closed":
         return closed_patterns(query_runs(points, query), query.labels, query.duration)
-    if name != "prefix":
-        parsed = parse_method(name)
-        check_stride(parsed, query.duration)
-        if parsed.family == "sliding":
-            return prefix_patterns(runs_of_frames(sliding_counts(points, query), query.duration), query.labels, query.duration)
-    return prefix_patterns(query_runs(points, query), query.labels, query.duration)
+    if name == "prefix" or not query.labels:
+        return prefix_patterns(query_runs(points, query), query.labels, query.duration)
+    parsed = parse_method(name)
+    stride = check_stride(parsed, query.duration)
+    found = runs_of_frames(sliding_counts(points, query), query.duration) if parsed.family == "sliding" else query_runs(points, query)
+    if parsed.merge in WINDOWED:
+        return windowed_patterns(found, query.labels, query.duration, stride)
+    return prefix_patterns(found, query.labels, query.duration)
 
 
 def bind(method: str | tuple) -> Callable[[DataFrame, Query], DataFrame]:

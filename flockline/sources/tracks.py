@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import math
 import re
+import tempfile
 import zipfile
 from dataclasses import dataclass, replace
 from io import BytesIO
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -87,6 +89,30 @@ def read_detection_arrays(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content").mapInPandas(parse, schema)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder's name: below spark.checkpoint.dir, which a cluster shares, or temporary on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named or tempfile.gettempdir()}/flockline-{uuid4().hex}"
+
+
+def frame_bounds_of_files(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Least and greatest frame of Parquet tracks, from the files' statistics alone."""
+    plan = "spark.sql.parquet.aggregatePushdown", "spark.sql.sources.useV1SourceList"
+    before = [spark.conf.get(k, None) for k in plan]
+    try:
+        spark.conf.set(plan[0], "true")
+        spark.conf.set(plan[1], "")
+        lo, hi = spark.read.parquet(path).agg(F.min("fid"), F.max("fid")).first()
+    finally:
+        for k, v in zip(plan, before, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    if lo is None:
+        raise ValueError("no rows")
+    return lo, hi
+
+
 def frame_bounds(points: DataFrame) -> tuple[int, int]:
     """Least and greatest frame; an error for an empty table."""
     lo, hi = points.agg(F.min("fid"), F.max("fid")).first()
@@ -101,10 +127,13 @@ def write_frame_range(points: DataFrame, path: str, first: int, last: int) -> No
 
 
 def write_points(points: DataFrame, path: str, by_class: bool = False) -> None:
-    """Parquet; by class, queries read only their classes' folders.  Sorted by object and frame."""
+    """Parquet; by class, queries read only their classes' folders.  Sorted by object and frame.
+
+    Ranges of objects are written by different tasks, so a class with most of the points is not one task.
+    """
     out = conform(points)
     if by_class:
-        out.repartition("cls").sortWithinPartitions("oid", "fid").write.mode("overwrite").partitionBy("cls").parquet(path)
+        out.repartitionByRange("cls", "oid").sortWithinPartitions("cls", "oid", "fid").write.mode("overwrite").partitionBy("cls").parquet(path)
     else:
         out.sortWithinPartitions("oid", "fid").write.mode("overwrite").parquet(path)
 
