@@ -66,26 +66,48 @@ def stream_runs(points: DataFrame, query: Query, fps: float = 30, late_frames: i
     return rows.groupBy("oid").applyInPandasWithState(step, "oid int, cls int, b int, e int", "cls int, spans string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_patterns(frames: DataFrame, query: Query) -> DataFrame:
+def stream_patterns(frames: DataFrame, query: Query, fps: float = 30, late_frames: int = 0) -> DataFrame:
     """query_id, ids, start_fid, end_fid of a stream (query_id, fid, oids, classes), a row a frame.
 
-    Each micro-batch's frames of a query are taken in order and go through its PatternPool; as many
-    queries run in parallel as there are ids.  A row with null oids ends the query's stream.
+    Frames of a query wait until the watermark has passed them, `late_frames` behind the newest, and
+    then go through its PatternPool in order, in whatever micro-batches and order they came; as many
+    queries run in parallel as there are ids.  Frames that are later than that, or repeat one, are
+    dropped.  A row with null oids ends its query: what waits goes through, all patterns end, and
+    the state is dropped once the watermark has passed the end.
     """
+    late = f"{int(late_frames * 1000 / fps)} milliseconds"
+    timed = with_event_time(frames, fps).withWatermark("ts", late)
 
     def step(key, batches, state: GroupState):
-        pool = PatternPool.restore(query.labels, query.duration, (lambda s: (s[0], [tuple(r) for r in s[1]]))(json.loads(state.get[0]))) if state.exists else PatternPool(query.labels, query.duration)
-        rows = pd.concat(list(batches)).sort_values("fid")
+        pool, waiting, over = PatternPool(query.labels, query.duration), {}, False
+        if state.exists:
+            if state.hasTimedOut and json.loads(state.get[0])["over"]:
+                state.remove()
+                return
+            held = json.loads(state.get[0])
+            over, waiting = held["over"], {int(f): r for f, r in held["waiting"].items()}
+            pool = PatternPool.restore(query.labels, query.duration, (held["pool"][0], [tuple(r) for r in held["pool"][1]]))
+        for rows in batches:
+            for fid, oids, classes in zip(rows["fid"].tolist(), rows["oids"], rows["classes"], strict=True):
+                waiting.setdefault(int(fid), None if oids is None else [[int(o), int(c)] for o, c in zip(oids, classes, strict=True)])
+        passed = (state.getCurrentWatermarkMs() - ORIGIN_MS) * fps / 1000
+        ended = any(r is None for r in waiting.values())
         out = []
-        for fid, oids, classes in zip(rows["fid"], rows["oids"], rows["classes"], strict=True):
-            if oids is None:
-                out += pool.finish()
-            else:
-                out += pool.frame(int(fid), {int(o): int(c) for o, c in zip(oids, classes, strict=True)})
-        state.update((json.dumps(pool.state()),))
+        for fid in sorted(waiting):
+            if over or not (ended or fid < passed):
+                break
+            present = waiting.pop(fid)
+            if present is None:
+                out, over = out + pool.finish(), True
+            elif pool.now is None or fid > pool.now:
+                out += pool.frame(fid, {o: c for o, c in present})
+        state.update((json.dumps({"pool": pool.state(), "waiting": {} if over else waiting, "over": over}),))
+        due = max(int(min(waiting, default=0) * 1000 / fps) + 1 + ORIGIN_MS, state.getCurrentWatermarkMs() + 1)
+        if waiting or over:
+            state.setTimeoutTimestamp(due)
         yield pd.DataFrame({"query_id": [key[0]] * len(out), "ids": [o[0] for o in out], "start_fid": [o[1] for o in out], "end_fid": [o[2] for o in out]})
 
-    return frames.groupBy("query_id").applyInPandasWithState(step, "query_id int, ids array<int>, start_fid int, end_fid int", "pool string", "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy("query_id").applyInPandasWithState(step, "query_id int, ids array<int>, start_fid int, end_fid int", "pool string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
