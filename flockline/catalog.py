@@ -20,6 +20,7 @@ from .operators import prep
 from .operators import runs as rn
 from .plans import comovement as cm
 from .schema import Query, Region
+from .sources import tracks as src
 from .sources.tables import event_points, raw_points, table, tracks
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -228,7 +229,7 @@ def interp_tracks(spark, sf):
 @_query("""WITH c AS (SELECT CAST(o_custkey AS INT) AS oid, CAST(o_orderkey % 3 AS VARCHAR) AS part, count(*) AS n FROM orders GROUP BY ALL),
 t AS (SELECT part, max(oid) + 1 AS top FROM c GROUP BY part),
 m AS (SELECT part, coalesce(sum(top) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mv FROM t)
-SELECT CAST(oid + mv AS INT) AS oid, n FROM c JOIN m USING (part)""")
+SELECT CAST(oid + mv AS BIGINT) AS oid, n FROM c JOIN m USING (part)""")
 def merged_part_ids(spark, sf):
     """T5."""
     parts = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("int").alias("oid"), (F.col("o_orderkey") % 3).cast("string").alias("part")).agg(F.count("*").alias("n"))
@@ -283,6 +284,52 @@ def temporal_overlap_probe(spark, sf):
     return rn.by_length(rn.overlapping(rn.query_runs(tracks(spark, sf), Query(LABELS, 1, (160, 420), REGION)), 240, 260))
 
 
+@_query(f"""WITH {PTS}, {_CELL},
+l AS (SELECT *, CASE WHEN lag(cell) OVER w = cell AND lag(fid) OVER w = fid - 1 THEN 0 ELSE 1 END AS fresh FROM cel WINDOW w AS (PARTITION BY oid ORDER BY fid)),
+p AS (SELECT *, sum(fresh) OVER (PARTITION BY oid ORDER BY fid) AS part FROM l),
+s AS (SELECT oid, min(cls) AS cls, min(cell) AS cell, min(fid) AS b, max(fid) + 1 AS e FROM p GROUP BY oid, part)
+SELECT oid, cls, cell, b, e, cell IN (4) AS sure FROM s WHERE cls IN (0, 3) AND cell IN (0, 1, 2, 3, 4, 5, 6, 7, 8) AND b < 260 AND e > 200""")
+def layout_search(spark, sf):
+    """A written layout, searched by class, cell and time."""
+    path = src.scratch_folder(spark)
+    ly.write_layout(ly.cell_segments(ly.with_cells(tracks(spark, sf), BORDERS)), path)
+    return ly.search_layout(spark, path, BORDERS, Region(8, 30, 150, 600), [0, 3], (200, 260))
+
+
+@_query(f"WITH {PTS} SELECT oid, cls, fid, x, y FROM pts")
+def points_by_class(spark, sf):
+    """Points written by class and read again."""
+    path = src.scratch_folder(spark)
+    src.write_points(tracks(spark, sf), path, by_class=True)
+    return src.read_points(spark, path).withColumn("cls", F.col("cls").cast("int"))
+
+
+@_query(f"WITH {PTS} SELECT oid, cls, fid, x, y FROM pts")
+def points_csv(spark, sf):
+    """Fractional places that become whole ones of a finer unit."""
+    path = src.scratch_folder(spark)
+    tracks(spark, sf).select("oid", "fid", (F.col("x") / 4).alias("x"), (F.col("y") / 4).alias("y"), "cls").write.option("header", True).csv(path)
+    return src.read_points_csv(spark, path, 4).withColumn("cls", F.col("cls").cast("int"))
+
+
+@_query(f"WITH {PTS} SELECT min(fid) AS first_fid, max(fid) AS last_fid FROM pts")
+def fid_bounds_of_files(spark, sf):
+    """From the files' statistics."""
+    path = src.scratch_folder(spark)
+    src.write_points(tracks(spark, sf), path)
+    return spark.createDataFrame([src.frame_bounds_of_files(spark, path)], "first_fid int, last_fid int")
+
+
+@_query(f"WITH {PTS} SELECT cls, count(*) AS n FROM pts WHERE fid BETWEEN 200 AND 239 GROUP BY cls")
+def frame_range_file(spark, sf):
+    """A range of frames as a table of its own; statistics with their manifest."""
+    path = src.scratch_folder(spark)
+    src.write_frame_range(tracks(spark, sf), f"{path}/points", 200, 239)
+    counts = spark.read.parquet(f"{path}/points").groupBy("cls").agg(F.count("*").alias("n"))
+    src.write_stats({"counts": counts}, {"frames": [200, 239]}, f"{path}/stats")
+    return src.read_stats(spark, f"{path}/stats", ["counts"])[0]["counts"]
+
+
 def _quantile_sql(step: float) -> str:
     return "[" + ", ".join(f"CAST(trunc(quantile_cont(life, {q})) AS INT)" for q in ly._quantiles(step)) + "]"
 
@@ -422,13 +469,13 @@ def comove_closed(spark, sf):
 
 @_query(_patterns(LABELS, 6))
 def comove_index_dur(spark, sf):
-    """By the name of an index method."""
-    return _shown(cm.co_movement(tracks(spark, sf), FLAGSHIP, "index_max_dur_multi"))
+    """By windows of 60 frames."""
+    return _shown(cm.co_movement(tracks(spark, sf), FLAGSHIP, "index_max_dur_ss_m60_e2"))
 
 
 @_query(_patterns(LABELS, 6))
 def comove_index_obj(spark, sf):
-    """P4, P5, P6, P16."""
+    """One window of 600 frames."""
     return _shown(cm.co_movement(tracks(spark, sf), FLAGSHIP, ("max", "obj", "win", 600, 3)))
 
 
@@ -440,7 +487,7 @@ def comove_sliding_naive(spark, sf):
 
 @_query(_patterns(LABELS, 6))
 def comove_sliding_state(spark, sf):
-    """P10, P11, P17, P18."""
+    """From the objects that qualify at each frame, by windows."""
     return _shown(cm.bind("sliding_state")(tracks(spark, sf), FLAGSHIP))
 
 
@@ -497,19 +544,35 @@ def _small_patterns(spark, sf, labels) -> DataFrame:
     return cm.co_movement(tracks(spark, sf), Query(labels, 6, (160, 420), REGION))
 
 
-@_query()
+def _lists(sql: str) -> str:
+    """Patterns as lists, from a statement that shows them as text."""
+    return f"(SELECT string_split(ids, ',')::INT[] AS ids, start_fid AS s, end_fid AS e FROM ({sql}))"
+
+
+_IDS = "array_to_string(list_sort(ids), ',') AS ids"
+
+
+@_query(f"""WITH a AS {_lists(_patterns({0: 1}, 6))}, b AS {_lists(_patterns(LABELS, 6))},
+x AS (SELECT DISTINCT list_sort(list_intersect(a.ids, b.ids)) AS ids, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e FROM a JOIN b ON a.s <= b.e AND b.s <= a.e)
+SELECT {_IDS}, s AS start_fid, e AS end_fid FROM x WHERE len(ids) >= 2""")
 def pattern_intersection(spark, sf):
     """P15."""
     return _shown(pt.intersect(_small_patterns(spark, sf, {0: 1}), _small_patterns(spark, sf, {0: 1, 1: 1}), 2))
 
 
-@_query()
+@_query(f"""WITH p AS {_lists(_patterns(LABELS, 6))}
+SELECT {_IDS}, s AS start_fid, e AS end_fid FROM p WHERE NOT EXISTS (
+  SELECT 1 FROM p q WHERE q.s <= p.s AND q.e >= p.e AND list_has_all(q.ids, p.ids) AND (q.s <> p.s OR q.e <> p.e OR len(q.ids) <> len(p.ids)))""")
 def maximal_patterns(spark, sf):
     """Patterns that no other one covers."""
     return _shown(pt.maximal(_small_patterns(spark, sf, LABELS)))
 
 
-@_query()
+@_query(f"""WITH {PTS}, {_filtered("0", "x BETWEEN 5 AND 50 AND y BETWEEN 0 AND 1000", -1_000_000, 1_000_000)}, fr AS (SELECT fid, list(DISTINCT oid) AS ids FROM f GROUP BY fid),
+w AS (SELECT a.fid AS end_fid, b.fid, b.ids, (1 << (a.fid - b.fid))::INT AS bit FROM fr a JOIN fr b ON b.fid BETWEEN a.fid - 3 AND a.fid),
+m AS (SELECT end_fid, list_sort(list_reduce(list(ids), lambda x, y: list_intersect(x, y))) AS ids FROM w, range(1, 16) r(mask) WHERE mask & bit > 0 GROUP BY end_fid, mask HAVING count(*) = bit_count(mask)),
+d AS (SELECT DISTINCT end_fid, ids FROM m WHERE len(ids) > 0)
+SELECT d.end_fid, array_to_string(d.ids, ',') AS ids, string_agg(CAST(w.fid AS VARCHAR), ',' ORDER BY w.fid) AS frames FROM d JOIN w ON w.end_fid = d.end_fid AND list_has_all(w.ids, d.ids) GROUP BY d.end_fid, d.ids""")
 def closed_sets_window(spark, sf):
     """P12."""
     sets = fp.select_points(tracks(spark, sf), [0], REGION).groupBy("fid").agg(F.array_sort(F.collect_list("oid")).alias("ids"))
@@ -597,25 +660,50 @@ def region_top_scores(spark, sf):
     return dn.region_scores(_joint(spark, sf), GRID, 2, 10)
 
 
+def _chosen_sql(order: str, n: int, times: str = "range(0, 9, 2)", until: int = 2) -> str:
+    """Of all origins (ix, iy, t0, count) in an order, the first n without overlap in the plane: id, o."""
+    return f"""WITH RECURSIVE {_JOINT},
+og AS (SELECT CAST(x AS INT) AS ix, CAST(y AS INT) AS iy, CAST(t AS INT) AS t0 FROM range(4) a(x), range(96) b(y), {times} d(t)),
+sc AS (SELECT ix, iy, t0, CAST(coalesce(sum(n), 0) AS BIGINT) AS count FROM og LEFT JOIN jh ON jt >= t0 AND jt < t0 + {until} AND jy >= iy AND jy < iy + 10 AND jx >= ix AND jx < ix + 2 GROUP BY ALL),
+wt AS (SELECT *, count / 40.0::DOUBLE AS w, (('0x' || left(md5('1234:' || ix || ':' || iy || ':' || t0), 12))::BIGINT + 1)::DOUBLE / 281474976710656.0::DOUBLE AS u FROM sc),
+od AS (SELECT *, row_number() OVER (ORDER BY {order}) AS o FROM wt),
+pk AS (
+  SELECT 0 AS k, []::STRUCT(o BIGINT, x INT, y INT)[] AS ch
+  UNION ALL
+  SELECT k + 1, list_append(any_value(ch), min({{'o': o, 'x': ix, 'y': iy}})) FROM pk, od
+  WHERE k < {n} AND len(list_filter(ch, lambda c: abs(c.x - ix) < 2 AND abs(c.y - iy) < 10)) = 0 GROUP BY k),
+c AS (SELECT CAST(unnest(range(len(ch))) AS INT) AS id, unnest(list_transform(ch, lambda c: c.o)) AS o FROM pk WHERE k = (SELECT max(k) FROM pk))"""
+
+
+_REGION_TEXT = "(10 * ix) || ',' || (10 * ix + 19) || ',' || (10 * iy) || ',' || (10 * iy + 99)"
+
+
+def _made_sql(order: str) -> str:
+    return f"""{_chosen_sql(order, 5)},
+pc AS (SELECT id, cls, coalesce(sum(n) FILTER (jt >= t0 AND jt < t0 + 2 AND jy >= iy AND jy < iy + 10 AND jx >= ix AND jx < ix + 2), 0) AS n FROM c JOIN od USING (o), jh GROUP BY id, cls)
+SELECT id, {_REGION_TEXT} AS region, 40.0::DOUBLE * t0 AS start_sec, least(40.0::DOUBLE * (t0 + 2), 372.0::DOUBLE) AS end_sec, w AS score, count,
+  (SELECT string_agg(cls || ':' || n, ',' ORDER BY cls) FROM pc WHERE pc.id = c.id) AS per_class FROM c JOIN od USING (o)"""
+
+
 def _made(spark, sf, mode) -> DataFrame:
     made = dn.make_queries(_joint(spark, sf), GRID, 20, 100, 80, 5, mode)
     rows = [(q["id"], ",".join(map(str, q["region"])), float(q["interval"][0]), float(q["interval"][1]), q["score"], q["count"], ",".join(f"{c}:{n}" for c, n in sorted(q["per_class"].items()))) for q in made]
     return spark.createDataFrame(rows, "id int, region string, start_sec double, end_sec double, score double, count long, per_class string")
 
 
-@_query()
+@_query(_made_sql("count DESC, ix, iy, t0"))
 def density_greedy_queries(spark, sf):
     """D12, D15."""
     return _made(spark, sf, "greedy")
 
 
-@_query()
+@_query(_made_sql("w <= 0, CASE WHEN w > 0 THEN -ln(u) / w ELSE u END, ix, iy, t0"))
 def density_weighted_queries(spark, sf):
     """D13, D15."""
     return _made(spark, sf, "weighted")
 
 
-@_query()
+@_query(f"{_chosen_sql('count DESC, ix, iy', 6, 'range(1)', 10)} SELECT {_REGION_TEXT} AS region, count FROM c JOIN od USING (o)")
 def density_top_regions(spark, sf):
     """D14."""
     rows = [(",".join(map(str, r["region"])), r["count"]) for r in dn.top_regions(_joint(spark, sf), GRID, 20, 100, 6)]
@@ -647,7 +735,9 @@ def interval_ends_raw(spark, sf):
     return marks.join(F.broadcast(c), F.col("cdf") >= F.col("k") / 8).groupBy("k").agg(F.min("tb").alias("tb"))
 
 
-@_query()
+@_query(f"""WITH {_PROFILE}, c AS (SELECT row_number() OVER (ORDER BY tb) AS pos, sum(share) OVER (ORDER BY tb) / (SELECT sum(share) FROM (SELECT share FROM pr ORDER BY tb LIMIT 38)) AS cdf FROM (SELECT * FROM pr ORDER BY tb LIMIT 38)),
+m AS (SELECT i, coalesce(min(pos) FILTER (cdf >= i / 6.0::DOUBLE), max(pos)) AS m FROM range(1, 7) r(i), c GROUP BY i)
+SELECT DISTINCT CAST(least(38, i + max(m - i) OVER (ORDER BY i)) AS INT) AS minute FROM m""")
 def interval_ends(spark, sf):
     """D17."""
     profile = [r.share for r in _profile(spark, sf).orderBy("tb").collect()]
