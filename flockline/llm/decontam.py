@@ -3,8 +3,9 @@
 An item's question (the first two thirds) and answer (the rest) must both be found in the document:
 of the distinct word 5-grams of each, VERIFIED at least, anywhere in it.
 
-The index is over the benchmark, which is small: ITEM_WORDS bounds what is broadcast, and a larger
-benchmark is dealt into parts of that size, each searched by all documents.  Questions and answers
+The index is over the benchmark, which is small: ITEM_WORDS bounds what is broadcast (arrays of about
+64 bytes a word), and a larger benchmark is dealt into parts of that size, each searched by all
+documents.  What is found does not depend on the parts: weights decide only what is looked at.  Questions and answers
 are entered as sections of their own; terms are their 5-grams.  A section's threshold is the sum of
 its least scores, of as many terms as VERIFIED asks for: no document that holds so many of them
 scores less, so retrieval loses nothing that verification would accept, whatever the weights.
@@ -36,7 +37,7 @@ K1, B = 1.2, 0.75
 BLOCK, BLOCKS = 4, 64
 GRAM = 5
 VERIFIED = 0.6
-ITEM_WORDS = 200_000
+ITEM_WORDS = 1_000_000
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,32 +62,38 @@ class Index:
         self.parts = Counter(n for n, _ in sections)
         count = len(sections)
         mean = sum(len(g) for _, g in sections) / max(1, count)
-        self.terms = np.unique(np.concatenate([g for _, g in sections])) if sections else np.zeros(0, U)
-        counted = [Counter(np.searchsorted(self.terms, g).tolist()) for _, g in sections]
-        held = Counter(t for c in counted for t in c)
+        lengths = np.array([len(g) for _, g in sections], np.int64)
+        every = np.concatenate([g for _, g in sections]) if sections else np.zeros(0, U)
+        self.terms, term = np.unique(every, return_inverse=True)
+        # a posting for each distinct term of a section, by section
+        number, tf = np.unique(np.repeat(np.arange(count), lengths) * max(1, len(self.terms)) + term, return_counts=True)
+        section, term = number // max(1, len(self.terms)), number % max(1, len(self.terms))
+        held = np.bincount(term, minlength=len(self.terms))
         # a positive form of the inverse document frequency
-        idf = [math.log(1 + (count - held[t] + 0.5) / (held[t] + 0.5)) for t in range(len(self.terms))]
-        scores, own = [], []
-        for (_, g), c in zip(sections, counted, strict=True):
-            norm = K1 * (1 - B + B * len(g) / mean)
-            scores.append({t: idf[t] * tf * (K1 + 1) / (tf + norm) for t, tf in c.items()})
-            own.append(sum(sorted(scores[-1].values())[: math.ceil(VERIFIED * len(c) - 1e-9)]))
-        order = sorted(range(count), key=lambda s: (own[s], s))
-        self.owner = [sections[s][0] for s in order]
-        self.threshold = [own[s] for s in order]
+        idf = np.log(1 + (count - held + 0.5) / (held + 0.5))
+        norm = K1 * (1 - B + B * lengths / mean) if count else lengths
+        score = idf[term] * tf * (K1 + 1) / (tf + norm[section])
+        own = np.zeros(count)
+        cuts = np.searchsorted(section, np.arange(count + 1))
+        for i in range(count):
+            some = np.sort(score[cuts[i] : cuts[i + 1]])
+            own[i] = some[: math.ceil(VERIFIED * len(some) - 1e-9)].sum()
+        order = np.lexsort((np.arange(count), own))
+        place = np.empty(count, np.int64)
+        place[order] = np.arange(count)
+        self.owner = [sections[i][0] for i in order.tolist()]
+        self.threshold = own[order]
         self.size = max(BLOCK, -(-count // BLOCKS))
-        self.least = np.array([self.threshold[s] for s in range(0, count, self.size)])
-        self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.terms]
-        best: dict[int, float] = {}
-        for place, s in enumerate(order):
-            for t, x in scores[s].items():
-                self.postings[t][0].append(place)
-                self.postings[t][1].append(x)
-                pair = t * len(self.least) + place // self.size
-                best[pair] = max(best.get(pair, 0.0), x)
+        self.least = self.threshold[:: self.size]
+        # postings by term and place
+        order = np.lexsort((place[section], term))
+        term, self.places, self.scores = term[order], place[section][order], score[order]
+        self.begin = np.searchsorted(term, np.arange(len(self.terms) + 1))
         # the greatest score of each pair of a term and a block that has postings, by term
-        self.pairs = np.array(sorted(best), np.int64)
-        self.best = np.array([best[p] for p in self.pairs.tolist()])
+        pair = term * len(self.least) + self.places // self.size
+        first = np.flatnonzero(kn.new_groups(pair))
+        self.pairs, self.best = pair[first], np.maximum.reduceat(self.scores, first) if len(first) else self.scores
+        self.from_ = first  # each pair's first posting
         self.first = np.searchsorted(self.pairs, np.arange(len(self.terms) + 1) * len(self.least))
 
     @staticmethod
@@ -106,14 +113,15 @@ class Index:
 
     def search(self, terms: list[int], block: int) -> list[int]:
         """The block's sections whose score over distinct terms reaches their threshold, by WAND."""
-        least, limit = self.least[block] * (1 - 1e-6), (block + 1) * self.size
-        cursors = []
+        least = self.least[block] * (1 - 1e-6)
         pairs = np.array(terms, np.int64) * len(self.least) + block
         places = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-        for t, place, there in zip(terms, places.tolist(), self.pairs[places] == pairs, strict=True):
-            if there:
-                at = bisect.bisect_left(self.postings[t][0], block * self.size)
-                cursors.append([self.postings[t][0][at], at, t, float(self.best[place])])
+        # of each term with postings in the block: those postings, the place in them, the greatest score
+        cursors = []
+        for p in places[self.pairs[places] == pairs].tolist():
+            a, b = int(self.from_[p]), int(self.from_[p + 1]) if p + 1 < len(self.from_) else len(self.places)
+            ids = self.places[a:b].tolist()
+            cursors.append([ids[0], 0, len(cursors), float(self.best[p]), ids, self.scores[a:b].tolist()])
         out = []
         while cursors:
             cursors.sort()
@@ -130,17 +138,16 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == section:
                 pivot += 1
             if cursors[0][0] == section:
-                if sum(self.postings[c[2]][1][c[1]] for c in cursors[: pivot + 1]) >= self.threshold[section] * (1 - 1e-6):
+                if sum(c[5][c[1]] for c in cursors[: pivot + 1]) >= self.threshold[section] * (1 - 1e-6):
                     out.append(section)
                 to = section + 1
             else:
                 to = section
             alive = cursors[pivot + 1 :]
             for c in cursors[: pivot + 1]:
-                ids = self.postings[c[2]][0]
-                at = bisect.bisect_left(ids, to, c[1])
-                if at < len(ids) and ids[at] < limit:
-                    alive.append([ids[at], at, c[2], c[3]])
+                at = bisect.bisect_left(c[4], to, c[1])
+                if at < len(c[4]):
+                    alive.append([c[4][at], at, *c[2:]])
             cursors = alive
         return out
 
