@@ -19,7 +19,7 @@ from .operators import patterns as pt
 from .operators import prep
 from .operators import runs as rn
 from .plans import comovement as cm
-from .schema import Query, Region
+from .schema import Query, Region, duration_to_frames, hour_to_frame, interval_to_frames, seconds_to_frames
 from .sources import tracks as src
 from .sources.tables import event_points, raw_points, table, tracks
 
@@ -288,12 +288,12 @@ def temporal_overlap_probe(spark, sf):
 l AS (SELECT *, CASE WHEN lag(cell) OVER w = cell AND lag(fid) OVER w = fid - 1 THEN 0 ELSE 1 END AS fresh FROM cel WINDOW w AS (PARTITION BY oid ORDER BY fid)),
 p AS (SELECT *, sum(fresh) OVER (PARTITION BY oid ORDER BY fid) AS part FROM l),
 s AS (SELECT oid, min(cls) AS cls, min(cell) AS cell, min(fid) AS b, max(fid) + 1 AS e FROM p GROUP BY oid, part)
-SELECT oid, cls, cell, b, e, cell IN (4) AS sure FROM s WHERE cls IN (0, 3) AND cell IN (0, 1, 2, 3, 4, 5, 6, 7, 8) AND b < 260 AND e > 200""")
+SELECT oid, cls, cell, b, e, cell IN (4) AS sure FROM s WHERE cls IN (0, 3) AND cell IN (4, 5, 7, 8) AND b < 260 AND e > 200""")
 def layout_search(spark, sf):
     """A written layout, searched by class, cell and time."""
     path = src.scratch_folder(spark)
     ly.write_layout(ly.cell_segments(ly.with_cells(tracks(spark, sf), BORDERS)), path)
-    return ly.search_layout(spark, path, BORDERS, Region(8, 30, 150, 600), [0, 3], (200, 260))
+    return ly.search_layout(spark, path, BORDERS, Region(10, 30, 200, 600), [0, 3], (200, 260))
 
 
 @_query(f"WITH {PTS} SELECT oid, cls, fid, x, y FROM pts")
@@ -330,6 +330,37 @@ def frame_range_file(spark, sf):
     return src.read_stats(spark, f"{path}/stats", ["counts"])[0]["counts"]
 
 
+@_query(f"""WITH {PTS}, {_CELL},
+l AS (SELECT *, CASE WHEN lag(cell) OVER w = cell AND lag(fid) OVER w = fid - 1 THEN 0 ELSE 1 END AS fresh FROM cel WINDOW w AS (PARTITION BY oid ORDER BY fid)),
+p AS (SELECT *, sum(fresh) OVER (PARTITION BY oid ORDER BY fid) AS part FROM l),
+s AS (SELECT oid, min(cls) AS cls, min(cell) AS cell, min(fid) AS b, max(fid) + 1 AS e FROM p GROUP BY oid, part)
+SELECT cell, coalesce(string_agg(DISTINCT CAST(oid AS VARCHAR), ',' ORDER BY CAST(oid AS VARCHAR)) FILTER (cell = 4), '') AS candidates,
+  coalesce(string_agg(DISTINCT CAST(oid AS VARCHAR), ',' ORDER BY CAST(oid AS VARCHAR)) FILTER (cell <> 4), '') AS probation
+FROM s WHERE cls IN (0, 3) AND cell IN (4, 5, 7, 8) AND b < 260 AND e > 200 GROUP BY cell""")
+def layout_candidates(spark, sf):
+    """Objects inside for sure, and those to be tested, by cell."""
+    as_text = lambda c: F.array_join(F.array_sort(F.transform(c, lambda v: v.cast("string"))), ",")
+    found = ly.by_cell(layout_search(spark, sf))
+    return found.select("cell", as_text("candidates").alias("candidates"), as_text("probation").alias("probation"))
+
+
+@_query(f"""WITH {PTS} SELECT CAST(least(x // 10, 4) AS INT) AS cx, CAST(least(y // 350, 2) AS INT) AS cy, count(*) AS n_points FROM pts GROUP BY ALL""")
+def even_grid(spark, sf):
+    """Cells between evenly spaced borders."""
+    celled = ly.with_cells(tracks(spark, sf), prep.grid_borders((0, 50, 0, 1050), (5, 3)))
+    return celled.groupBy("cx", "cy").agg(F.count("*").alias("n_points"))
+
+
+@_query("""SELECT CAST(k AS INT) AS k, CAST(round_even(k / 8.0 * 30, 0) AS BIGINT) AS frames, CAST(greatest(1, round_even(k / 400.0 * 30, 0)) AS BIGINT) AS least_frames,
+  CAST(round_even(k / 8.0 * 30, 0) AS BIGINT) AS lo, CAST(round_even((k / 8.0 + 1.5) * 30, 0) AS BIGINT) AS hi, CAST(k * 108000 + 1 AS BIGINT) AS hour,
+  CAST(greatest(1, round_even(sqrt(k / 50.0::DOUBLE * 1920 * 1080 * 4 / 3), 0)) AS BIGINT) AS w,
+  CAST(greatest(1, round_even(round_even(sqrt(k / 50.0::DOUBLE * 1920 * 1080 * 4 / 3), 0) * 3 / 4.0, 0)) AS BIGINT) AS h FROM range(1, 41) r(k)""")
+def time_and_size_units(spark, sf):
+    """F7, F8, F16, F17."""
+    rows = [(k, seconds_to_frames(k / 8, 30), duration_to_frames(k / 400, 30), *interval_to_frames((k / 8, k / 8 + 1.5), 30), hour_to_frame(k), *fp.area_size(1920, 1080, k / 50, (4, 3))) for k in range(1, 41)]
+    return spark.createDataFrame(rows, "k int, frames long, least_frames long, lo long, hi long, hour long, w long, h long")
+
+
 def _quantile_sql(step: float) -> str:
     return "[" + ", ".join(f"CAST(trunc(quantile_cont(life, {q})) AS INT)" for q in ly._quantiles(step)) + "]"
 

@@ -90,6 +90,13 @@ def search_layout(spark: SparkSession, path: str, borders: tuple[list[int], list
     return found.select("oid", "cls", "cell", "b", "e", F.col("cell").isin(number(cells["sure"])).alias("sure"))
 
 
+def by_cell(found: DataFrame) -> DataFrame:
+    """cell, candidates, probation: of search_layout's segments, the objects that are inside for sure and
+    those whose places must still be tested against the box, by cell."""
+    ids = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("oid"))))
+    return found.groupBy("cell").agg(ids(F.col("sure")).alias("candidates"), ids(~F.col("sure")).alias("probation"))
+
+
 def top_classes_by_objects(points: DataFrame, k: int = 9) -> DataFrame:
     """cls, n_objects of the k classes with most objects, ties to the least class."""
     return points.groupBy("cls").agg(F.count_distinct("oid").alias("n_objects")).orderBy(F.desc("n_objects"), "cls").limit(k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -50,6 +52,12 @@ def interpolate(points: DataFrame) -> DataFrame:
     return dense.join(class_modes(points), "oid").select("oid", "cls", "fid", "x", "y")
 
 
+def part_order(names: Iterable[str]) -> list[str]:
+    """Parts by name, the first one last: recordings begin with a part that was saved after the others."""
+    first, *others = sorted(names)
+    return [*others, first]
+
+
 def merge_parts(parts: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Parts of one data set (column `part`) as one table, with ids that do not collide.
 

@@ -197,6 +197,13 @@ def check_stride(method: Method, duration: int) -> int:
     return max(duration * method.expend, method.minima)
 
 
+def require_classes(points: DataFrame, labels: dict[int, int]) -> None:
+    """A KeyError if a class of a query has no points at all; without this check it gives no rows."""
+    have = {int(r.cls) for r in points.where(F.col("cls").isin(sorted(labels))).select("cls").distinct().collect()}  # as many as there are labels
+    if missing := sorted(set(labels) - have):
+        raise KeyError(f"no points of classes {', '.join(map(str, missing))}")
+
+
 def co_movement(points: DataFrame, query: Query, method: str | tuple | None = None) -> DataFrame:
     """Patterns of a query: ids, start_fid, end_fid, n_objects.
 

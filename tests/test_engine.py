@@ -100,6 +100,7 @@ def test_merged_ids_do_not_collide(spark):
     df = spark.createDataFrame([("b", 0), ("b", 4), ("a", 0), ("a", 9), ("c", 0)], "part string, oid int")
     assert sorted(r.oid for r in prep.merge_parts(df).collect()) == [0, 9, 10, 14, 15]
     assert sorted(r.oid for r in prep.merge_parts(df, ["c", "b", "a"]).collect()) == [0, 1, 5, 6, 15]
+    assert prep.part_order(["a2", "a3", "a1"]) == ["a2", "a3", "a1"]
     large = spark.createDataFrame([(p, 2**31 - 1, "m") for p in "abc"], "part string, oid int, move string")
     assert sorted(r.oid for r in prep.merge_parts(large).collect()) == [2**31 * i - 1 for i in (1, 2, 3)]
     assert prep.merge_parts(large).columns == ["oid", "move"]
