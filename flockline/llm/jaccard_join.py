@@ -69,8 +69,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
         value[: n - j][inside[: n - j]] += part[inside[: n - j]] if j else part[inside]
     keep = (room >= width) | first
     row, value = row[keep], kn.mix64(value[keep])
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
+    cuts = np.searchsorted(row, np.arange(len(offsets))).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # texts are short beside a chunk: cheaper than one sort of all
+        value[a:b].sort()
     once = kn.new_groups(row, value)
     row, value = row[once], value[once]
     return value, np.searchsorted(row, np.arange(len(offsets)))
@@ -112,6 +113,9 @@ while _UPPER[-1] < 1 << 40:
     _UPPER.append(int(_UPPER[-1] * RATIO) + 1)
 
 
+_LIMITS = np.array(_UPPER)
+
+
 def _band(n: int) -> int:
     return bisect_left(_UPPER, n)
 
@@ -195,12 +199,15 @@ def _prefix_keys(values: np.ndarray, offsets: np.ndarray, frequency: np.ndarray,
     """(row, key) of the shingles of each set's prefix that other sets have, once a band and pair of parts."""
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((values, frequency, row))  # within a set: rarest first
-    rank = np.arange(len(values)) - offsets[row]
-    kept = order[(rank < prefix_length(sizes, percent)[row]) & (frequency[order] > 1)]
+    shared = frequency > 1
+    # the shingles that no other set has come first; room is what they leave of the prefix
+    room = prefix_length(sizes, percent) - (sizes - np.bincount(row[shared], minlength=len(sizes)))
+    kept = np.flatnonzero(shared & (room > 0)[row])
+    kept = kept[np.lexsort((values[kept], frequency[kept], row[kept]))]  # within a set: rarest first
+    rank = np.arange(len(kept)) - np.searchsorted(row[kept], row[kept])
+    kept = kept[rank < room[row[kept]]]
     row, value, often = row[kept], values[kept], frequency[kept]
-    low = np.array([_band(int(n)) for n in sizes], np.int64)
-    high = np.array([_band(int(n) * 100 // percent) for n in sizes], np.int64)
+    low, high = np.searchsorted(_LIMITS, sizes), np.searchsorted(_LIMITS, sizes * 100 // percent)
     each = (high - low + 1)[row]
     band = kn.ranges(low[row], each)
     row, value, often = np.repeat(row, each), np.repeat(value, each), np.repeat(often, each)
