@@ -1,10 +1,14 @@
 import random
+import zlib
+from collections import namedtuple
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from flockline.llm import _kernels as kn
 from flockline.llm import _repeats as rp
+from flockline.llm import jaccard_join as jj
 from flockline.llm import phrase_dedup as ph
 from flockline.llm import suffix_dedup as sd
 from flockline.llm.jaccard_join import bands, jaccard_join, link, prefix_length
@@ -129,10 +133,11 @@ def test_automata_decide(docs_of, monkeypatch):
     assert {r.n_removed for r, (_, t) in zip(local_groups(rows), rows, strict=True) if t not in copies} == {0}
 
 
+Row = namedtuple("Row", [f.name for f in ph.ARROW])
+
+
 def local_groups(rows):
     """phrase_dedup's rows in the order of `rows`, by its own steps in this process."""
-    import pyarrow as pa
-
     n = 7
     resolver = ph.WordResolver()
     db = [(i if i is not None else 0) % n for i, _ in rows]
@@ -142,8 +147,6 @@ def local_groups(rows):
             first[t] = min(first.get(t, i), i)
     table = lambda cols, schema: pa.table(dict(zip([f.name for f in schema], cols, strict=True)), schema=schema)
     docs_schema, found_schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), pa.schema([("block", pa.binary()), ("copy", pa.int64()), ("crc", pa.int64())])
-    import zlib
-
     groups = {g: [j for j in range(len(rows)) if db[j] == g] for g in range(n)}
     docs = {g: table([[rows[j][0] for j in js], [rows[j][1] for j in js]], docs_schema) for g, js in groups.items()}
     copy = {g: [(rows[j][0], zlib.crc32(rows[j][1].encode())) for j in js if rows[j][0] is not None and rows[j][1] is not None and first[rows[j][1]] < rows[j][0]] for g, js in groups.items()}
@@ -161,21 +164,16 @@ def local_groups(rows):
     shared = grouped(map(rp._shared(n), anchors.values()))
     contexts = grouped(rp._contexts("words", n, resolver)(docs[g], back(shared, g)) for g in range(n))
     reports = grouped(map(rp._resolved("words", n, resolver), contexts.values()))
-    from types import SimpleNamespace
-
     out = {}
     for g in range(n):
         blocks = back(reports, g).column("block").to_pylist()
         found = pa.concat_tables([table([blocks, [None] * len(blocks), [None] * len(blocks)], found_schema), copies[g]])
-        result = rp._applied(resolver, ph._result, ph.ARROW)(docs[g], found).to_pylist()
+        result = rp._applied(resolver, ph._result, ph.ARROW)(docs[g], found)
+        result = [tuple(r.values()) for r in result.to_pylist()]
         for j, r in zip(groups[g], result, strict=True):
             out[j] = r
 
-    class Row(SimpleNamespace):
-        def __getitem__(self, i):
-            return list(vars(self).values())[i]
-
-    return [Row(**out[j]) for j in range(len(rows))]
+    return [Row(*out[j]) for j in range(len(rows))]
 
 
 def test_anchors_never_miss_a_repeat():
@@ -207,8 +205,6 @@ def test_jaccard_equals_brute_force(docs_of, seed, width, percent):
 
 
 def test_jaccard_large_block_in_tiles(docs_of, monkeypatch):
-    from flockline.llm import jaccard_join as jj
-
     monkeypatch.setattr(jj, "TILE", 7)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(200)]
@@ -223,8 +219,6 @@ def test_jaccard_large_block_in_tiles(docs_of, monkeypatch):
 
 
 def test_jaccard_hot_shingles_in_parts(docs_of, monkeypatch):
-    from flockline.llm import jaccard_join as jj
-
     monkeypatch.setattr(jj, "HOT", 4)
     rows = near_copies(random.Random(10), 40, 120)
     got = jaccard_join(docs_of(rows), 3, 90).collect()
@@ -244,8 +238,6 @@ def near_copies(rng, n, words):
 @pytest.mark.parametrize("words", [40, 400, 4000])
 def test_shared_passages_tie_no_blocks(docs_of, monkeypatch, words):
     """A ring of documents, each half shared with one neighbour: none link, and none get to verification."""
-    from flockline.llm import jaccard_join as jj
-
     passage = lambda i: " ".join(f"p{i}w{j}" for j in range(words // 2))
     n = 30
     rows = [(i, f"{passage(i)} {passage((i + 1) % n)}") for i in range(n)]
