@@ -339,6 +339,29 @@ def test_secrets_short_broken_and_without_digits(spark, docs_of):
     assert sorted(got) == [(i, v, True) for i, (_, v) in enumerate(cases)]
 
 
+def test_secrets_in_other_formats(spark):
+    """Formats of other programs, most of them not among the labelled findings: recall and false alarms by format."""
+    rng = random.Random(77)
+    draw = lambda letters: lambda n: "".join(rng.choice(letters) for _ in range(n))
+    small = "abcdefghijklmnopqrstuvwxyz"
+    lo, hx, al, b64 = draw(small), draw("0123456789abcdef"), draw(small + small.upper() + "0123456789"), draw(small + small.upper() + "0123456789+/")
+    secrets = {
+        "cloud key": lambda: f"aws_secret_access_key = {b64(40)}", "web token": lambda: f"Authorization: Bearer ey{al(30)}.ey{al(60)}.{al(40)}", "client": lambda: f'"client_secret": "{al(24)}",',
+        "shell": lambda: f"export DB_PASSWORD={lo(6)}{rng.randrange(999)}!{lo(3)}", "yaml": lambda: f"  password: '{lo(5)}-{lo(5)}-{rng.randrange(99)}'", "chat": lambda: f"xoxp-{rng.randrange(10**11)}-{rng.randrange(10**11)}-{hx(32)}",
+        "maps": lambda: f"key AIza{al(35)} here", "query": lambda: f"apikey={hx(32)}&x=1", "block": lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{b64(64)}\n{b64(64)}\n-----END RSA PRIVATE KEY-----",
+    }
+    others = {
+        "commit": lambda: f"see commit {hx(40)} for", "image": lambda: f"image@sha256:{hx(64)} is", "path": lambda: f"open /usr/{lo(5)}/{lo(7)}{rng.randrange(99)}/{lo(6)}/index.html now", "integrity": lambda: f'"integrity": "sha512-{b64(86)}=="',
+        "book": lambda: f"ISBN 978{rng.randrange(10**10):010d} by", "order": lambda: f"order {rng.randrange(10**15):016d} shipped", "inline": lambda: f"src=data:image/png;base64,{b64(80)} alt", "link": lambda: f"https://example.org/{lo(8)}/{lo(9)}-{rng.randrange(10**8)}/view",
+        "prose": lambda: f"the password {lo(6)} was lost, a token of {lo(7)}", "class": lambda: f"class {lo(4).title()}{lo(6).title()}Factory{rng.randrange(9)}Impl extends", "digest": lambda: f"md5: {hx(32)} ok",
+    }
+    kinds = [k for group in (secrets, others) for k in group for _ in range(20)]
+    rows = [(i, f"{lo(5)} {lo(4)} {(secrets | others)[k]()} {lo(6)}") for i, k in enumerate(kinds)]
+    found = {r.doc_id for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("is_secret").collect()}
+    share = {k: sum(i in found for i, x in enumerate(kinds) if x == k) / 20 for k in secrets | others}
+    assert min(share[k] for k in secrets) >= 0.9 and max(share[k] for k in others) <= 0.1, share
+
+
 def test_secret_candidates_equal_plain_python(spark, sf_dir):
     """Places and digests of all candidates, against another pattern engine that looks behind as far as it needs."""
     regex = pytest.importorskip("regex")
