@@ -30,17 +30,15 @@ def _small_star(e: DataFrame) -> DataFrame:
     return down.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) for every node a but the least of its component b; edges: (a, b), any direction.
 
-    Nulls, loops and repeats among the edges are harmless; no edges give an empty result.
+    Nulls, loops and repeats among the edges are harmless; no edges give an empty result.  Rounds go
+    on until one changes nothing, seen by the number of edges and the whole sum of their 64-bit hashes.
     """
     e = cut(_directed(edges.dropna(subset=["a", "b"])))
-    before = None
-    for _ in range(max_rounds):
+    before, now = None, ()
+    while now != before:
         e = cut(_small_star(_large_star(e)))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
-        if now == before:
-            return e
-        before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        before, now = now, e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    return e
