@@ -40,13 +40,24 @@ def intersect(left: DataFrame, right: DataFrame, at_least: int = 1) -> DataFrame
 
 
 def maximal(patterns: DataFrame) -> DataFrame:
-    """Patterns without those that another one covers, in objects and in frames."""
-    p = patterns.select("ids", "start_fid", "end_fid").distinct().withColumn("p", F.xxhash64("ids", "start_fid", "end_fid"))
-    # any cover holds the first object too: candidates meet there
-    mine = p.withColumn("oid", F.get("ids", F.lit(0)))
-    others = p.select(F.col("p").alias("q"), F.explode("ids").alias("oid"), F.col("ids").alias("more"), F.col("start_fid").alias("s"), F.col("end_fid").alias("e"))
-    inside = mine.join(others, "oid").where((F.col("p") != F.col("q")) & (F.col("s") <= F.col("start_fid")) & (F.col("e") >= F.col("end_fid")) & (F.size(F.array_except("ids", "more")) == 0))
-    return p.join(inside.select("p").distinct(), "p", "left_anti").select("ids", "start_fid", "end_fid")
+    """Patterns without those that another one covers, in objects and in frames.
+
+    Patterns meet by the rarest object of the covered one, as numbers only: frames and sizes settle
+    most pairs, and lists are sent for those alone that remain.  Spark takes exploded lists for as
+    small as their patterns, so all joins of them are told not to broadcast.
+    """
+    whole = ["ids", "start_fid", "end_fid"]
+    # the distinct rows as one value: filters of the branches below stay above it, so patterns are made once
+    named = F.struct(*whole, F.xxhash64(*whole).alias("p"), F.size(F.array_distinct("ids")).alias("n"))
+    p = patterns.groupBy(*whole).agg(F.first(named).alias("t")).select("t.*")
+    members = p.select("p", "start_fid", "end_fid", "n", F.explode(F.array_distinct("ids")).alias("oid"))
+    held = members.groupBy("oid").agg(F.count("*").alias("holders"))
+    mine = members.join(held.hint("merge"), "oid").groupBy("p", "start_fid", "end_fid", "n").agg(F.min(F.struct("holders", "oid"))["oid"].alias("oid"))
+    others = members.select(F.col("p").alias("q"), "oid", F.col("start_fid").alias("s"), F.col("end_fid").alias("e"), F.col("n").alias("m"))
+    likely = mine.join(others.hint("merge"), "oid").where("p != q and s <= start_fid and e >= end_fid and m >= n").select("p", "q")
+    lists, more = p.select("p", "ids"), p.select(F.col("p").alias("q"), F.col("ids").alias("more"))
+    inside = likely.join(lists.hint("merge"), "p").join(more.hint("merge"), "q").where(F.size(F.array_except("ids", "more")) == 0)
+    return p.join(inside.select("p").distinct(), "p", "left_anti").select(*whole)
 
 
 def sliding_windows(frames: DataFrame, n: int, block: int = 4096) -> DataFrame:
